@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .fingerprint import op6_fingerprints
 from .langid import op2_language_id
 from .packing import op9_packing
 from .quality import op5_quality
@@ -13,6 +14,7 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
     "op5_quality": op5_quality,
+    "op6_fingerprints": op6_fingerprints,
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
