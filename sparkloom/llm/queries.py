@@ -7,6 +7,7 @@ from .langid import op2_language_id
 from .packing import op9_packing
 from .quality import op5_quality
 from .secrets import op8_secrets
+from .substrings import op10_substrings
 from .toxicity import op7_toxicity
 from .warc import OP1_SQL, op1_warc
 
@@ -18,5 +19,6 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_secrets": op8_secrets,
     "op9_packing": op9_packing,
+    "op10_substrings": op10_substrings,
 }
 ORACLE_SQL = {"op1_warc": OP1_SQL}
