@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from .decontaminate import op4_decontamination
 from .fingerprint import op6_fingerprints
 from .langid import op2_language_id
+from .minhash import op3_minhash
 from .packing import op9_packing
 from .quality import op5_quality
 from .secrets import op8_secrets
@@ -14,6 +16,8 @@ from .warc import OP1_SQL, op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_language_id": op2_language_id,
+    "op3_minhash": op3_minhash,
+    "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op6_fingerprints": op6_fingerprints,
     "op7_toxicity": op7_toxicity,
