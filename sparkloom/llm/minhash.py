@@ -9,8 +9,9 @@ estimate. Pairs estimated at LEAST or more are confirmed on full sets.
 Not all pairs of a bucket are written. First, each bucket (in parts of at most PART rows, all tied to the
 bucket's first row) gives a maximum spanning forest of its estimates: confirmed links of it make
 components. Then, in buckets that still hold several components, rows outside the bucket's largest one are
-compared with all the others, and pairs between components that estimate at LEAST or more are confirmed
-too. So any two candidates at 0.8 or more end in one component.
+compared with all the others: estimates first, then full sets, all in the bucket's task, from which only
+links that hold come out, one for each row and component. So any two candidates at 0.8 or more end in one
+component.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8**5)**25 = 5e-5, and its estimate falls
 short of LEAST with a like one (four standard errors).
@@ -151,27 +152,45 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(edges)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs between components, of rows outside the list's largest one (or sent along from other parts) with the others."""
-    edges: list[tuple[int, int]] = []
-    for ids, comp, sig, guest in _lists(batches, ("id", "comp", "signature", "guest")):
-        ids, comp, sig, guest = np.array(ids), np.array(comp), _signatures(sig), np.array(guest)
-        own = np.flatnonzero(~guest)
-        if not len(own):
-            continue
-        names, n = np.unique(comp[own], return_counts=True)
-        main = names[np.argmax(n)]
-        for i in np.flatnonzero(guest | (comp != main)):
-            to = own[comp[own] != comp[i]]
-            if not guest[i]:
-                to = to[(comp[to] == main) | (to > i)]
-            to = to[estimate(sig[i], sig[to]) >= LEAST] if len(to) else to
-            edges += [(int(ids[i]), int(ids[j])) for j in to]
+def _across(num: int, den: int):
+    """Links between components, of rows outside the list's largest one (or sent along from other parts) with the
+    others: estimates first, then full sets, counted for all the others at once. One link for each row and component."""
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges: list[tuple[int, int]] = []
+        for ids, comp, sig, raw, guest in _lists(batches, ("id", "comp", "signature", "members", "guest")):
+            ids, comp, sig, guest = np.array(ids), np.array(comp), _signatures(sig), np.array(guest)
+            own = np.flatnonzero(~guest)
+            if not len(own):
+                continue
+            names, n = np.unique(comp[own], return_counts=True)
+            main = names[np.argmax(n)]
+            sets = None
+            for i in np.flatnonzero(guest | (comp != main)):
+                to = own[comp[own] != comp[i]]
+                if not guest[i]:
+                    to = to[(comp[to] == main) | (to > i)]
+                to = to[estimate(sig[i], sig[to]) >= LEAST] if len(to) else to
+                if not len(to):
+                    continue
+                if sets is None:
+                    size = np.array([len(x) // 6 for x in raw])
+                    first = np.concatenate(([0], np.cumsum(size)))
+                    values, sets = np.unique(np.concatenate([_unpack_set(x) for x in raw]), return_inverse=True)
+                    mark = np.zeros(len(values), np.int32)
+                mark[sets[first[i] : first[i + 1]]] = 1
+                same = np.array([mark[sets[first[j] : first[j + 1]]].sum() for j in to]) if len(to) < 16 else np.add.reduceat(mark[sets], first[:-1])[to]
+                mark[sets[first[i] : first[i + 1]]] = 0
+                to = to[den * same >= num * (size[i] + size[to] - same)]
+                _, one = np.unique(comp[to], return_index=True)
+                edges += [(int(ids[i]), int(ids[j])) for j in to[one]]
             if len(edges) > 20000:
                 yield _pairs(edges)
                 edges = []
-    if edges:
-        yield _pairs(edges)
+        if edges:
+            yield _pairs(edges)
+
+    return links
 
 
 def _pack_set(u: np.ndarray) -> bytes:
@@ -214,18 +233,21 @@ def _confirmer(num: int, den: int):
 
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets are similar enough. Only texts that a filter of BLOOM bits passes give sets."""
-    spark = docs.sparkSession
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).withColumn("slot", F.pmod(F.xxhash64("id"), F.lit(BLOOM)) + 1)
-    maps = ids.groupBy(F.expr("bitmap_bucket_number(slot)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect()
+def _sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """id and members, the full set, of the documents in ids (id). Only texts that a filter of BLOOM bits passes give sets."""
+    maps = ids.select((F.pmod(F.xxhash64("id"), F.lit(BLOOM)) + 1).alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect()
     bloom = np.zeros(BLOOM >> 3, np.uint8)
     for r in maps:  # at most BLOOM / 32768 rows of 4 KB; slots and bucket numbers count from 1
         raw = np.frombuffer(bytes(r["bits"]), np.uint8)
         at = (r["n"] - 1) * 4096
         bloom[at : at + len(raw)] = raw
     rows = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM))).filter("slot IS NOT NULL")
-    sets = common.materialize(rows.mapInArrow(_setter(k, bloom), "id long, members binary"), "sets").dropDuplicates(["id"])
+    return common.materialize(rows.mapInArrow(_setter(k, bloom), "id long, members binary"), "sets").dropDuplicates(["id"])
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Those of pairs (a, b) whose full sets are similar enough."""
+    sets = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs, k)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     return common.materialize(both.select("a", "b", "x", "y").mapInArrow(_confirmer(num, den), "a long, b long"), "confirmed")
 
@@ -262,16 +284,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     state = rows.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     state = common.materialize(state.join(signatures, "id"), "state")
     mixed = state.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("band")
-    open_rows = state.join(common.materialize(mixed, "mixed"), "band")
-    sizes = open_rows.filter(F.col("c") > part).groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max(F.lit(0)).alias("z")).drop("z")
-    parts = large.select("band", "blk", F.xxhash64("band", "blk").alias("to_lid"))
-    guests = open_rows.filter(F.col("c") > part).join(common.materialize(sizes, "main"), "band").filter("comp <> main").join(parts.withColumnRenamed("blk", "to_blk"), "band").filter("blk < to_blk OR blk > to_blk")
-    guests = guests.select(F.col("to_lid").alias("lid"), "id", "comp", "signature", F.lit(True).alias("guest"))
-    compared = open_rows.select("lid", "id", "comp", "signature", F.lit(False).alias("guest")).unionByName(guests)
-    more = compared.repartition(n, "lid").sortWithinPartitions("lid", "id").mapInArrow(_across, "a long, b long").distinct()
-    more = common.materialize(more.join(pairs, ["a", "b"], "left_anti"), "more")
-    if more.limit(1).count():
-        links = common.materialize(links.union(_confirmed(more, docs, shingle, num, den)), "all-links")
+    open_rows = common.materialize(state.join(common.materialize(mixed, "mixed"), "band"), "open")
+    if open_rows.limit(1).count():
+        open_rows = open_rows.join(_sets(open_rows.select("id"), docs, shingle), "id")
+        sizes = open_rows.filter(F.col("c") > part).groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max(F.lit(0)).alias("z")).drop("z")
+        parts = large.select("band", "blk", F.xxhash64("band", "blk").alias("to_lid"))
+        guests = open_rows.filter(F.col("c") > part).join(common.materialize(sizes, "main"), "band").filter("comp <> main").join(parts.withColumnRenamed("blk", "to_blk"), "band").filter("blk < to_blk OR blk > to_blk")
+        guests = guests.select(F.col("to_lid").alias("lid"), "id", "comp", "signature", "members", F.lit(True).alias("guest"))
+        compared = open_rows.select("lid", "id", "comp", "signature", "members", F.lit(False).alias("guest")).unionByName(guests)
+        more = compared.repartition(n, "lid").sortWithinPartitions("lid", "id").mapInArrow(_across(num, den), "a long, b long")
+        links = common.materialize(links.union(more).distinct(), "all-links")
         comp = components(links)
 
     groups = common.materialize(classes.select("digest", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id")), "groups")
