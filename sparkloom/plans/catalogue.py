@@ -5,18 +5,48 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-FLAGSHIP = """
-SELECT n_name, COUNT(*) AS cnt, ROUND(AVG(c_acctbal), 2) AS avg_bal
-FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
-WHERE c_acctbal > 0 GROUP BY n_name HAVING COUNT(*) > 5
-ORDER BY cnt DESC, n_name LIMIT 10
-"""
+from . import keyvalue, relational, widecolumn
+
+_SQL = relational.QUERIES | widecolumn.QUERIES | keyvalue.QUERIES
+
+
+def _runner(tables: str, sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(sql_for(tables, sql), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables.split()})
+
+    return run
+
+
+def sql_for(tables: str, sql: str) -> str:
+    """The text with each table as a parameter, so that nothing is registered in the session and concurrent queries don't meet."""
+    names = tables.split()
+    return f"WITH {', '.join(f'{t} AS (SELECT * FROM {{{t}}})' for t in names)} {sql}" if names else sql
+
+
+def describe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of events and their roles: user_id partitions, ts clusters."""
+    role = {"user_id": "partition", "ts": "clustering"}
+    return spark.createDataFrame([(c, role.get(c, "regular")) for c in spark.read.parquet(f"{sf_dir}/events.parquet").columns], "col string, role string")
+
+
+def spop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three random members of each supplier's set, the same for the same seed."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("m")).distinct()
+    from pyspark.sql import Window
+
+    return rows.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("m", F.lit(42)), "m"))).filter("r <= 3").select("k", "m")
+
+
+def now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql("SELECT current_timestamp() AS now")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    out = {name: _runner(tables, sql) for name, (tables, sql, _) in _SQL.items() if sql}
+    return out | {"describe_table": describe_table, "spop": spop, "now": now}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: duck or sql for name, (_, sql, duck) in _SQL.items()}
