@@ -5,8 +5,10 @@ pieces whose lengths are the powers of two of its binary form, largest first. Ea
 its own; equal lengths form a bucket, from which training takes batches of one shape.
 
 A word (a run without white space) is tokenised once and its ids kept, in a table of bounded size: the
-tokenizer drops white space and splits at it, so a text's ids are those of its words in order. Texts with
-the separators 0x1C to 0x1F, on which Python and the tokenizer differ, go to the tokenizer whole.
+tokenizer drops white space, lowers case and splits at white space and between letters and marks, so a
+text's ids are those of its words in order, and A-Z may be lowered and a space set before a mark first.
+Texts with the separators 0x1C to 0x1F, on which Python and the tokenizer differ, or with anything like a
+special token go to the tokenizer whole.
 
 Cases: a null or empty text has the end id alone (one piece of length 1); repeated rows give their pieces
 twice, in sequences of their own; null doc_ids are kept; very long texts are cut like others; extra
@@ -18,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,9 @@ from . import common
 from .kernel import column
 
 MAX_LEN, END = 2048, 1
-CACHE = 400_000  # words whose ids are kept at a time
-_ODD = re.compile("[\x1c-\x1f]")
+CACHE = 1_000_000  # words whose ids are kept at a time
+_ODD = re.compile("[\x1c-\x1f]|<\\|")
+_MARK = re.compile("(?<=[a-zß-öø-ÿ])(?=[.,!#$%&*])")
 SCHEMA = "doc_id long, start long, length long, bucket int, doc_tokens long, ids binary"
 
 
@@ -49,31 +53,33 @@ class Encoder:
         self.pool = np.zeros(0, np.uint32)
 
     def _learn(self, new: list[str]) -> None:
-        got = [x.ids for x in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        n = np.array([len(x) for x in got], np.int64)
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        n = np.fromiter(map(len, got), np.int64, len(got))
         base = len(self.pool)
         self.known.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
         self.starts = np.concatenate((self.starts, base + np.cumsum(n) - n))
         self.lengths = np.concatenate((self.lengths, n))
-        self.pool = np.concatenate((self.pool, np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))))
+        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [None if _ODD.search(t) else t.split() for t in texts]
+        odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
+        parts = [_MARK.sub(" ", t.encode().lower().decode()).split() for t in texts]
+        for i in odd:
+            parts[i] = []
         if len(self.known) > CACHE:
             self.clear()
-        new = [w for w in dict.fromkeys(w for p in parts if p for w in p) if w not in self.known]
+        new = list(set().union(*parts).difference(self.known))
         if new:
             self._learn(new)
-        out = []
-        find = self.known.__getitem__
-        for text, p in zip(texts, parts, strict=True):
-            if p is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-                continue
-            at = np.fromiter(map(find, p), np.int64, len(p))
-            n = self.lengths[at]
-            before = np.cumsum(n) - n
-            out.append(self.pool[np.repeat(self.starts[at] - before, n) + np.arange(n.sum())])
+        count = np.fromiter(map(len, parts), np.int64, len(parts))
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(count.sum()))
+        n = self.lengths[at]
+        before = np.concatenate(([0], np.cumsum(n)))
+        ids = self.pool[np.repeat(self.starts[at] - before[:-1], n) + np.arange(before[-1])]
+        cut = before[np.concatenate(([0], np.cumsum(count)))]
+        out = [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for i in odd:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
         return out
 
 
