@@ -18,7 +18,6 @@ columns are ignored; an empty table gives no pieces.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 from itertools import chain
 
@@ -28,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .kernel import column
+from .kernel import LOWER, SPACE, blocks, column, runs, word_hashes
 
 MAX_LEN, END = 2048, 1
 CACHE = 1_000_000  # words whose ids are kept at a time
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
-_MARK = re.compile("(?<=[a-zß-öø-ÿ])(?=[.,!#$%&*])")
+_LETTER, _MARK, _SPLIT = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[ord("a") : ord("z") + 1] = True
+_MARK[list(b".,!#$%&*")] = True
+_SPLIT[0x1C:0x20] = True
 SCHEMA = "doc_id long, start long, length long, bucket int, doc_tokens long, ids binary"
 
 
@@ -48,38 +49,43 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[int, int] = {}
         self.lengths, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, keys: list[int], new: list[str]) -> None:
         got = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int64, len(got))
         base = len(self.pool)
-        self.known.update(zip(new, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
+        self.known.update(zip(keys, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
         self.starts = np.concatenate((self.starts, base + np.cumsum(n) - n))
         self.lengths = np.concatenate((self.lengths, n))
         self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))))
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        odd = [i for i, t in enumerate(texts) if _ODD.search(t)]
-        parts = [_MARK.sub(" ", t.encode().lower().decode()).split() for t in texts]
-        for i in odd:
-            parts[i] = []
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """Ids of each text of a block (its bytes and offsets). Words are told apart by 64-bit hashes."""
+        low = LOWER[data]
+        cut = np.flatnonzero(_LETTER[low[:-1]] & _MARK[low[1:]]) + 1
+        start, end, _ = runs(~SPACE[low], np.concatenate((offsets, cut)))
+        first = np.searchsorted(start, offsets)
+        keys, at, word = np.unique(word_hashes(low, start, end), return_index=True, return_inverse=True)
         if len(self.known) > CACHE:
             self.clear()
-        new = list(set().union(*parts).difference(self.known))
+        keys = keys.tolist()
+        new = [i for i, k in enumerate(keys) if k not in self.known]
+        raw = low.tobytes()
         if new:
-            self._learn(new)
-        count = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(count.sum()))
-        n = self.lengths[at]
+            self._learn([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
+        place = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[word]
+        n = self.lengths[place]
         before = np.concatenate(([0], np.cumsum(n)))
-        ids = self.pool[np.repeat(self.starts[at] - before[:-1], n) + np.arange(before[-1])]
-        cut = before[np.concatenate(([0], np.cumsum(count)))]
-        out = [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        for i in odd:
-            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        ids = self.pool[np.repeat(self.starts[place] - before[:-1], n) + np.arange(before[-1])]
+        out = [ids[a:b] for a, b in zip(before[first[:-1]], before[first[1:]], strict=True)]
+        odd = np.flatnonzero(_SPLIT[data])
+        special = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        for i in np.unique(np.searchsorted(offsets, np.concatenate((odd, special)), "right") - 1):
+            text = data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")
+            out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return out
 
 
@@ -96,10 +102,10 @@ def _packer(path: str):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
         for batch in batches:
-            ids, texts = column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist()
-            for lo in range(0, len(ids), 256):
+            ids = column(batch, "doc_id").to_pylist()
+            for lo, hi, data, offsets in blocks(column(batch, "text"), 1 << 20):
                 rows: list[tuple] = []
-                for doc, got in zip(ids[lo : lo + 256], encoder.encode([x or "" for x in texts[lo : lo + 256]]), strict=True):
+                for doc, got in zip(ids[lo:hi], encoder.encode(data, offsets), strict=True):
                     raw = np.append(got, END).astype("<u4").tobytes()
                     total, at = len(raw) // 4, 0
                     for n in pieces(total):
