@@ -3,7 +3,8 @@
 Words are runs of letters and digits (ASCII in lower case, non-ASCII bytes as they are). Features of a
 text are the set of its hashed words, neighbouring pairs and pairs that skip one word. FTRL's
 per-coordinate rates and L1 term leave few non-zero weights, and those pairs of (feature, weight) are
-what is broadcast: at most 2**BITS of them, whatever the data.
+what is broadcast. Features are 32-bit hashes; training numbers those that the bounded sample holds, so
+that the model's size is bounded by the sample, and scoring first asks a table of 2**BITS bits.
 
 Bound: at most SAMPLE labelled rows of each class (smallest hash of doc_id first) are fitted. A text's
 features are found over all of it.
@@ -46,7 +47,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         at, base = inside(first, k)
         out.append(mix(h[at] * U64(0x9FB21C651E98DF25) + h[at + k - 1] + U64(k)))
         owner.append(np.repeat(np.arange(len(base) - 1), np.diff(base)))
-    return (np.concatenate(out) >> U64(64 - BITS)).astype(np.int32), np.concatenate(owner)
+    return (np.concatenate(out) >> U64(32)).astype(np.uint32), np.concatenate(owner)
 
 
 @dataclass
@@ -55,24 +56,28 @@ class Model:
     weight: np.ndarray
     bias: float
 
-    def dense(self) -> np.ndarray:
-        table = np.zeros(1 << BITS, np.float32)
-        table[self.index] = self.weight
+    def bitmap(self) -> np.ndarray:
+        table = np.zeros(1 << BITS, bool)
+        table[self.index >> np.uint32(32 - BITS)] = True
         return table
 
     def scores(self, table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         feature, owner = features(data, offsets)
-        w = table[feature]
-        hit = np.flatnonzero(w)
-        pair = np.unique(owner[hit].astype(np.int64) << 32 | feature[hit])
         z = np.full(len(offsets) - 1, self.bias)
-        np.add.at(z, pair >> 32, table[pair & 0xFFFFFFFF].astype(np.float64))
+        hit = np.flatnonzero(table[feature >> np.uint32(32 - BITS)])
+        pair = np.unique(owner[hit].astype(np.int64) << 32 | feature[hit])
+        feature, owner = (pair & 0xFFFFFFFF).astype(np.uint32), pair >> 32
+        if len(pair) and len(self.index):
+            at = np.minimum(np.searchsorted(self.index, feature), len(self.index) - 1)
+            np.add.at(z, owner, np.where(self.index[at] == feature, self.weight[at], 0.0).astype(np.float64))
         return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Model:
     """FTRL-proximal over texts as sets of features; the bias has no L1 term."""
-    n, z = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    names = np.unique(np.concatenate(rows)) if rows else np.zeros(0, np.uint32)
+    rows = [np.searchsorted(names, f).astype(np.int32) for f in rows]
+    n, z = np.zeros(len(names)), np.zeros(len(names))
     n0 = z0 = 0.0
     rng = np.random.default_rng(seed)
 
@@ -92,7 +97,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Model:
             n0 += g * g
     w = weight(z, n, L1)
     index = np.flatnonzero(w)
-    return Model(index.astype(np.int32), w[index].astype(np.float32), float(weight(np.array(z0), np.array(n0), 0.0)))
+    return Model(names[index], w[index].astype(np.float32), float(weight(np.array(z0), np.array(n0), 0.0)))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     if not got:
         return None
     got = sorted(got, key=lambda r: (r.doc_id, r.y, bytes(r.features)))
-    return train([np.frombuffer(r.features, np.int32) for r in got], np.array([r.y for r in got], float))
+    return train([np.frombuffer(r.features, np.uint32) for r in got], np.array([r.y for r in got], float))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -137,7 +142,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        table = m.dense() if m else None
+        table = m.bitmap() if m else None
         for batch in batches:
             out = np.zeros(batch.num_rows)
             if m:
@@ -157,7 +162,7 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.5) ->
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        table = m.dense() if m else None
+        table = m.bitmap() if m else None
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             if m:
