@@ -29,7 +29,7 @@ from .kernel import LOWER, U64, blocks, column, inside, mix, runs, word_hashes
 from .langid import held_out
 
 BITS = 22
-SAMPLE = 4000  # rows of each class
+SAMPLE = 3000  # rows of each class
 EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 1.0, 1.0
 
 WORD = np.zeros(256, bool)
@@ -95,9 +95,8 @@ def train(rows: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Model:
             s0 = (np.sqrt(n0 + g * g) - np.sqrt(n0)) / ALPHA
             z0 += g - s0 * w0
             n0 += g * g
-    w = weight(z, n, L1)
-    index = np.flatnonzero(w)
-    return Model(names[index], w[index].astype(np.float32), float(weight(np.array(z0), np.array(n0), 0.0)))
+    index = np.flatnonzero(np.abs(z) > L1)
+    return Model(names[index], weight(z[index], n[index], L1).astype(np.float32), float(weight(np.array(z0), np.array(n0), 0.0)))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
