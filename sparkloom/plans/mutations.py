@@ -73,7 +73,7 @@ def upsert_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LOG = """SELECT event_id AS seq, CASE WHEN event_id % 41 = 0 THEN 'DEL' WHEN event_id % 7 = 0 THEN 'HDEL' ELSE 'HSET' END AS op,
-    concat('user:', CAST(user_id AS {s})) AS key, event_type AS field, CAST(CAST(value AS INT) AS {s}) AS value FROM events
+    concat('user:', CAST(user_id AS {s})) AS key, event_type AS field, CAST(CAST(FLOOR(value) AS BIGINT) AS {s}) AS value FROM events
     UNION ALL SELECT event_id, CASE WHEN event_id % 50 = 0 THEN 'SET' ELSE 'INCRBY' END, concat('n:', event_type), '', CAST(event_id % 9 AS {s}) FROM events"""
 
 
