@@ -239,13 +239,13 @@ def next_to_each(docs: DataFrame) -> DataFrame:
                 for p in np.unique(part):
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([key[part == p].min()], pa.int64())], names=["part", "first"])
 
-        found = rows.select("key").mapInArrow(place, "part int, first long").groupBy("part").agg(F.min("first").alias("first")).collect()
+        found = rows.select("key").mapInArrow(common.freeing(place), "part int, first long").groupBy("part").agg(F.min("first").alias("first")).collect()
     else:
         found = rows.agg(F.lit(0).alias("part"), F.min("key").alias("first")).filter("first IS NOT NULL").collect()
     firsts = {r["part"]: r["first"] for r in found}
     order = sorted(firsts)
     before = {p: order[i - 1] for i, p in enumerate(order)}
-    dealt = rows.mapInArrow(_deal(np.array(borders, np.int64), firsts, before), "part int, ghost boolean, key long, doc_id long, text string")
+    dealt = rows.mapInArrow(common.freeing(_deal(np.array(borders, np.int64), firsts, before)), "part int, ghost boolean, key long, doc_id long, text string")
     return dealt.repartition(n, "part").sortWithinPartitions("part", "ghost", "key", "text").drop("key")
 
 

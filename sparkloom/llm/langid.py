@@ -152,7 +152,7 @@ def fit(labelled: DataFrame) -> Model | None:
     ids = [r.doc_id for r in few.select("doc_id").collect() if r.doc_id is not None]
     if not ids:
         return None
-    got = rows.filter(F.col("doc_id").isin(ids)).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(_bags, "doc_id long, lang string, bucket binary, share binary").collect()
+    got = rows.filter(F.col("doc_id").isin(ids)).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(common.freeing(_bags), "doc_id long, lang string, bucket binary, share binary").collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.lang, bytes(r.bucket)))
     labels = sorted({r.lang for r in got})
     bags = [(np.frombuffer(r.bucket, np.int32), np.frombuffer(r.share, np.float32)) for r in got]
@@ -182,7 +182,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("has_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return rows.mapInArrow(score, "doc_id long, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(common.freeing(score), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id, mod: int, rest: int):

@@ -242,14 +242,14 @@ def _sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         at = (r["n"] - 1) * 4096
         bloom[at : at + len(raw)] = raw
     rows = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM))).filter("slot IS NOT NULL")
-    return common.materialize(rows.mapInArrow(_setter(k, bloom), "id long, members binary"), "sets").dropDuplicates(["id"])
+    return common.materialize(rows.mapInArrow(common.freeing(_setter(k, bloom)), "id long, members binary"), "sets").dropDuplicates(["id"])
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough."""
     sets = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs, k)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-    return common.materialize(both.select("a", "b", "x", "y").mapInArrow(_confirmer(num, den), "a long, b long"), "confirmed")
+    return common.materialize(both.select("a", "b", "x", "y").mapInArrow(common.freeing(_confirmer(num, den)), "a long, b long"), "confirmed")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, part: int = PART) -> DataFrame:
@@ -258,7 +258,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     common.tune(spark)
     n = common.partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = common.materialize(docs.mapInArrow(_signer(shingle), SIGNED), "signed")
+    signed = common.materialize(docs.mapInArrow(common.freeing(_signer(shingle)), SIGNED), "signed")
     known = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
     classes = common.materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     reps = known.join(classes.select(F.col("digest").alias("_digest"), F.col("rep").alias("doc_id")), "doc_id").filter(F.col("digest") == F.col("_digest"))
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     rows = lists.select("lid", "band", "blk", "c", F.explode("ids").alias("id"))
     signatures = reps.select("id", "signature").dropDuplicates(["id"])
     grouped = rows.select("lid", "id").join(signatures, "id").repartition(n, "lid").sortWithinPartitions("lid", "id")
-    trees = grouped.mapInArrow(_forests, "a long, b long")
+    trees = grouped.mapInArrow(common.freeing(_forests), "a long, b long")
     first = large.groupBy("band").agg(F.min(F.get("ids", F.lit(0))).alias("a"))
     tied = large.join(first, "band").select(F.col("a"), F.explode("ids").alias("b")).filter("a <> b")
     pairs = common.materialize(trees.union(tied).distinct(), "pairs")
@@ -292,7 +292,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         guests = open_rows.filter(F.col("c") > part).join(common.materialize(sizes, "main"), "band").filter("comp <> main").join(parts.withColumnRenamed("blk", "to_blk"), "band").filter("blk < to_blk OR blk > to_blk")
         guests = guests.select(F.col("to_lid").alias("lid"), "id", "comp", "signature", "members", F.lit(True).alias("guest"))
         compared = open_rows.select("lid", "id", "comp", "signature", "members", F.lit(False).alias("guest")).unionByName(guests)
-        more = compared.repartition(n, "lid").sortWithinPartitions("lid", "id").mapInArrow(_across(num, den), "a long, b long")
+        more = compared.repartition(n, "lid").sortWithinPartitions("lid", "id").mapInArrow(common.freeing(_across(num, den)), "a long, b long")
         links = common.materialize(links.union(more).distinct(), "all-links")
         comp = components(links)
 

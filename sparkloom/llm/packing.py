@@ -125,7 +125,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         tokenizer = public_tokenizers.path("word_bpe_49k.json")
     common.tune(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_packer(str(tokenizer)), SCHEMA).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return rows.mapInArrow(common.freeing(_packer(str(tokenizer))), SCHEMA).withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
 
 
 def digests(packed: DataFrame) -> DataFrame:

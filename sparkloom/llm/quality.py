@@ -190,7 +190,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from docs (doc_id, text) and labels (doc_id, quality); None if no labelled document is there."""
     common.tune(docs.sparkSession)
-    got = labelled_sample(docs, labels, "quality", SAMPLE).select("doc_id", "y", "text").mapInArrow(_rows, "doc_id long, y int, x binary").collect()
+    got = labelled_sample(docs, labels, "quality", SAMPLE).select("doc_id", "y", "text").mapInArrow(common.freeing(_rows), "doc_id long, y int, x binary").collect()
     if not got:
         return None
     share = labels.filter("quality IN (0, 1)").agg(F.avg("quality")).first()[0]
@@ -213,7 +213,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                     out[lo:hi] = m.score(statistics(data, offsets))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(out)], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(score, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(common.freeing(score), "doc_id long, score double")
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

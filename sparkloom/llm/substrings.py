@@ -99,7 +99,7 @@ def _chunker(limit: int):
 def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """The documents (doc_id, text) as a written table of chunks."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.col("text").cast("string").alias("text"))
-    return common.materialize(rows.mapInArrow(_chunker(chunk_bytes), CHUNK), "chunks")
+    return common.materialize(rows.mapInArrow(common.freeing(_chunker(chunk_bytes)), CHUNK), "chunks")
 
 
 class _Chunk:
@@ -325,10 +325,10 @@ def remove_repeats(docs: DataFrame, digest: bool = False, chunk_bytes: int = 1 <
         return texts.unionByName(answers).repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
 
     row = "bucket int, chunk long, payload binary"
-    hits = by_bucket(table.select("chunk", "payload").mapInArrow(_prober(bits, top), row)).mapInArrow(_hits(bits, top), ANSWER)
-    wide = meet(hits).mapInArrow(_extender(bits, top), row)
-    late = by_bucket(wide).mapInArrow(_later, ANSWER)
-    return meet(late).mapInArrow(_remover(not digest), RESULT)
+    hits = by_bucket(table.select("chunk", "payload").mapInArrow(common.freeing(_prober(bits, top)), row)).mapInArrow(common.freeing(_hits(bits, top)), ANSWER)
+    wide = meet(hits).mapInArrow(common.freeing(_extender(bits, top)), row)
+    late = by_bucket(wide).mapInArrow(common.freeing(_later), ANSWER)
+    return meet(late).mapInArrow(common.freeing(_remover(not digest)), RESULT)
 
 
 def op10_substrings(spark, sf_dir: str) -> DataFrame:

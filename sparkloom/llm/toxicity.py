@@ -126,7 +126,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int) -> D
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from docs (doc_id, text) and labels (doc_id, toxic); None if no labelled document is there."""
     common.tune(docs.sparkSession)
-    got = labelled_sample(docs, labels, "toxic", SAMPLE).select("doc_id", "y", "text").mapInArrow(_sets, "doc_id long, y int, features binary").collect()
+    got = labelled_sample(docs, labels, "toxic", SAMPLE).select("doc_id", "y", "text").mapInArrow(common.freeing(_sets), "doc_id long, y int, features binary").collect()
     if not got:
         return None
     got = sorted(got, key=lambda r: (r.doc_id, r.y, bytes(r.features)))
@@ -150,7 +150,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"), pa.array(out)], names=[*(x for x in batch.schema.names if x != "text"), "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score, "doc_id long, score double")
+    return rows.mapInArrow(common.freeing(score), "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.5) -> DataFrame:
@@ -169,7 +169,7 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.5) ->
                     keep[lo:hi] = m.scores(table, data, offsets) < threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(drop, docs.schema)
+    return docs.mapInArrow(common.freeing(drop), docs.schema)
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -116,7 +116,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     shared = common.materialize(shared, "warc-shared")  # so that the join below is between two plain exchanges, whose hot digests are split
     joined = rows.join(shared, "payload_digest", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first")))
     folder = common.fresh_path(spark, "warc")
-    return common.materialize(joined.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(_writer(folder), INDEX), "warc-index")
+    return common.materialize(joined.select("page_id", "url", "payload", "payload_digest", "refers_to").mapInArrow(common.freeing(_writer(folder)), INDEX), "warc-index")
 
 
 def _ranges(rows: list[tuple]) -> Iterator[list[tuple]]:
@@ -154,7 +154,7 @@ def read_records(index: DataFrame) -> DataFrame:
     """The records that the index rows name. Rows of one 16 MB stretch of an archive meet in one task, sorted by offset."""
     n = common.partitions(index.sparkSession)
     at = index.select("file", "offset", "length").withColumn("stretch", F.expr("offset div 16777216"))
-    return at.repartition(n, "file", "stretch").sortWithinPartitions("file", "offset").mapInArrow(_reader, RECORD)
+    return at.repartition(n, "file", "stretch").sortWithinPartitions("file", "offset").mapInArrow(common.freeing(_reader), RECORD)
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
