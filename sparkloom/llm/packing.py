@@ -49,15 +49,17 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and where their ids are
         self.lengths, self.starts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
 
-    def _learn(self, keys: list[int], new: list[str]) -> None:
+    def _learn(self, keys: np.ndarray, new: list[str]) -> None:
         got = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int64, len(got))
         base = len(self.pool)
-        self.known.update(zip(keys, range(len(self.lengths), len(self.lengths) + len(new)), strict=True))
+        at = np.searchsorted(self.keys, keys)
+        self.slot = np.insert(self.slot, at, np.arange(len(self.lengths), len(self.lengths) + len(new)))
+        self.keys = np.insert(self.keys, at, keys)
         self.starts = np.concatenate((self.starts, base + np.cumsum(n) - n))
         self.lengths = np.concatenate((self.lengths, n))
         self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))))
@@ -68,15 +70,16 @@ class Encoder:
         cut = np.flatnonzero(_LETTER[low[:-1]] & _MARK[low[1:]]) + 1
         start, end, _ = runs(~SPACE[low], np.concatenate((offsets, cut)))
         first = np.searchsorted(start, offsets)
-        keys, at, word = np.unique(word_hashes(low, start, end), return_index=True, return_inverse=True)
-        if len(self.known) > CACHE:
+        keys, at, word = np.unique(word_hashes(low, start, end).astype(np.uint64, copy=False), return_index=True, return_inverse=True)
+        if len(self.keys) > CACHE:
             self.clear()
-        keys = keys.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.known]
+        near = np.searchsorted(self.keys, keys)
+        near[near == len(self.keys)] = 0
+        new = np.flatnonzero(self.keys[near] != keys) if len(self.keys) else np.arange(len(keys))
         raw = low.tobytes()
-        if new:
-            self._learn([keys[i] for i in new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
-        place = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[word]
+        if len(new):
+            self._learn(keys[new], [raw[a:b].decode("utf-8", "replace") for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
+        place = self.slot[np.searchsorted(self.keys, keys)][word]
         n = self.lengths[place]
         before = np.concatenate(([0], np.cumsum(n)))
         ids = self.pool[np.repeat(self.starts[place] - before[:-1], n) + np.arange(before[-1])]
