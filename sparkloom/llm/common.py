@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 def tune(spark: SparkSession) -> None:
     """Bound the memory of one Arrow batch by bytes and rows; texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
 
 
 def freeing(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
