@@ -69,7 +69,7 @@ def _signer(k: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = column(batch, "doc_id")
-            for lo, hi, data, offsets in blocks(column(batch, "text"), 1 << 20):
+            for lo, hi, data, offsets in blocks(column(batch, "text"), 1 << 18):
                 got, base = shingles(data, offsets, k)
                 n = hi - lo
                 count, digest = np.zeros(n, np.int64), [b""] * n
@@ -210,7 +210,7 @@ def _setter(k: int, bloom: np.ndarray):
         for batch in batches:
             slot = column(batch, "slot").to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array((bloom[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
-            for lo, hi, data, offsets in blocks(column(batch, "text")):
+            for lo, hi, data, offsets in blocks(column(batch, "text"), 1 << 18):
                 got, base = shingles(data, offsets, k)
                 got &= U64((1 << 48) - 1)
                 yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array([_pack_set(np.unique(got[base[i] : base[i + 1]])) for i in range(hi - lo)], pa.binary())], names=["id", "members"])

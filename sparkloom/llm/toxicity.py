@@ -145,7 +145,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         for batch in batches:
             out = np.zeros(batch.num_rows)
             if m:
-                for lo, hi, data, offsets in blocks(column(batch, "text"), 1 << 20):
+                for lo, hi, data, offsets in blocks(column(batch, "text"), 1 << 18):
                     out[lo:hi] = m.scores(table, data, offsets)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if batch.schema.names[i] != "text"), pa.array(out)], names=[*(x for x in batch.schema.names if x != "text"), "score"])
 
@@ -165,7 +165,7 @@ def keep_clean(docs: DataFrame, model: Model | None, threshold: float = 0.5) ->
         for batch in batches:
             keep = np.ones(batch.num_rows, bool)
             if m:
-                for lo, hi, data, offsets in blocks(column(batch, "text"), 1 << 20):
+                for lo, hi, data, offsets in blocks(column(batch, "text"), 1 << 18):
                     keep[lo:hi] = m.scores(table, data, offsets) < threshold
             yield batch.filter(pa.array(keep))
 
