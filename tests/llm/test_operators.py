@@ -12,6 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 from sparkloom.llm import decontaminate, fingerprint, langid, minhash, packing, quality, secrets, substrings, toxicity, warc  # noqa: E402
+from sparkloom.llm.components import components  # noqa: E402
 
 ROWS = brute.corpus()
 
@@ -54,6 +55,17 @@ def test_near_duplicates_odd(spark, docs, empty):
     assert sorted((r.doc_id, r.component_id) for r in twice if r.doc_id is not None) == sorted((d, c) for d, (_, c, _) in want.items() for _ in "ab")
 
 
+def test_components_of_long_chains(spark):
+    n = 200
+    falling = [1, *range(n, 1, -1)]
+    shuffled = (np.random.default_rng(1).permutation(n) + 1000).tolist()
+    star = [(5000, i) for i in range(3000, 3050)]
+    links = [*zip(falling, falling[1:]), *zip(shuffled, shuffled[1:]), *star, (7000, 7000)]
+    got = dict(components(spark.createDataFrame([(int(a), int(b)) for a, b in links], "a long, b long")).collect())
+    assert got == dict.fromkeys(falling, 1) | dict.fromkeys(shuffled, 1000) | dict.fromkeys([5000, *range(3000, 3050)], 3000) | {7000: 7000}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_estimate_is_unbiased():
     rng = np.random.default_rng(0)
     data = [b" ".join(b"w%d" % i for i in rng.permutation(400)) for _ in range(2)]
