@@ -3,11 +3,14 @@
 Texts become tokens (runs of letters and digits, in lower case) and those templates: numbers, units after
 numbers and names (capitalised words inside a sentence) count as typed placeholders. Windows of WINDOW
 template tokens are joined by hash with those of the benchmark (items shorter than WINDOW: one window of
-all their tokens). Matches of a document and an item on one diagonal (document position less item
-position) make a run. The values at a run's placeholders tell a verbatim copy (all equal) from a
-re-parameterised one (each value of the item stands for one value in the document); values that
-contradict each other make no match. A document is contaminated by an item when a consistent run covers
-at least COVER of the item's windows.
+all their tokens). A window with names also counts with its names as plain words, so that a copy in other
+letter case is met. Matches of a document and an item on one diagonal (document position less item
+position) make a run, and unbroken positions in it a stretch. The values at placeholders tell a verbatim
+copy (all equal) from a re-parameterised one (each value of the item stands for one value in the document);
+values that contradict each other make no match: of such a run only its consistent stretches are left.
+Runs of all diagonals are put together, largest first, as long as their values agree. A document is
+contaminated by an item when these cover at least COVER of the item's tokens, or when a consistent stretch
+has at least LONG tokens.
 
 Plan: one pass over the documents. Their windows are exploded with nothing but doc_id, position, hash and
 the few placeholders' values, and meet the benchmark's windows in a hash join: those are broadcast when
@@ -23,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW, COVER = 8, 0.5
+WINDOW, COVER, LONG = 8, 0.5, 13
 BROADCAST = 200_000  # windows: under 20 MB
 #: Units that count as placeholders after a number.
 UNITS = (
@@ -54,32 +57,78 @@ def _is_number(w: Column) -> Column:
 
 
 def _templates(rows: DataFrame) -> DataFrame:
-    """rows (own) with `tmpl`: the hash of each template token, and `slotted`: whether there are placeholders."""
+    """rows (own) with `tmpl`: the hash of each template token, `folded`: the same with names as words (null if there are none), and `slotted`: whether there are placeholders."""
     mark = {c: F.xxhash64(F.lit(c)) for c in (_NUMBER, _UNIT, _NAME)}
 
+    def unit(w: Column, i: Column) -> Column:
+        return w.isin(UNITS) & F.coalesce(_is_number(F.get("own", i - 1)), F.lit(False))
+
     def template(w: Column, i: Column) -> Column:
-        unit = w.isin(UNITS) & F.coalesce(_is_number(F.get("own", i - 1)), F.lit(False))
-        return F.when(_is_number(w), mark[_NUMBER]).when(w.startswith(_NAME), mark[_NAME]).when(unit, mark[_UNIT]).otherwise(F.xxhash64(w))
+        return F.when(_is_number(w), mark[_NUMBER]).when(w.startswith(_NAME), mark[_NAME]).when(unit(w, i), mark[_UNIT]).otherwise(F.xxhash64(w))
+
+    def fold(w: Column, i: Column) -> Column:
+        word = F.translate(w, _NAME, "")
+        return F.when(~w.startswith(_NAME), F.get("tmpl", i)).when(unit(word, i), mark[_UNIT]).otherwise(F.xxhash64(word))
 
     got = rows.withColumn("tmpl", F.transform("own", template)).withColumn("n", F.size("own"))
+    got = got.withColumn("folded", F.when(F.array_contains("tmpl", mark[_NAME]), F.transform("own", fold)))
     return got.withColumn("slotted", F.arrays_overlap("tmpl", F.array(*mark.values())))
 
 
 def _windows(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """key, n, size, pos, hash and slots (values at placeholders, in order; null if there are none) of each window of k tokens."""
-    mark = [F.xxhash64(F.lit(c)) for c in (_NUMBER, _UNIT, _NAME)]
+    """key, n, size, pos, hash and slots (values at placeholders, in order; null if there are none) of each window of k tokens, those with names in both forms."""
+    mark = {c: F.xxhash64(F.lit(c)) for c in (_NUMBER, _UNIT, _NAME)}
+
+    def slots(tokens: str, i: Column) -> Column:
+        pairs = F.arrays_zip(F.slice(tokens, i + 1, k).alias("t"), F.slice("own", i + 1, k).alias("w"))
+        return F.filter(pairs, lambda x: x["t"].isin(*mark.values()))
 
-    def slots(i: Column) -> Column:
-        pairs = F.arrays_zip(F.slice("tmpl", i + 1, k).alias("t"), F.slice("own", i + 1, k).alias("w"))
-        return F.transform(F.filter(pairs, lambda x: x["t"].isin(*mark)), lambda x: x["w"])
+    def window(i: Column, tokens: str, values: Column) -> Column:
+        return F.struct(i.alias("pos"), F.xxhash64(F.slice(tokens, i + 1, k), F.lit(k)).alias("hash"), values.alias("slots"))
 
     at = F.sequence(F.lit(0), F.col("n") - k)
-    made = F.transform(at, lambda i: F.struct(F.xxhash64(F.slice("tmpl", i + 1, k), F.lit(k)).alias("hash"), F.when(F.col("slotted"), slots(i)).alias("slots")))
-    got = rows.filter(F.col("n") >= k).select(key, "n", F.lit(k).alias("size"), F.posexplode(made).alias("pos", "x"))
-    return got.select(key, "n", "size", "pos", F.col("x.hash").alias("hash"), F.when(F.size("x.slots") > 0, F.col("x.slots")).alias("slots"))
+    made = F.transform(at, lambda i: window(i, "tmpl", F.when(F.col("slotted"), F.transform(slots("tmpl", i), lambda x: x["w"]))))
+    named = F.filter(at, lambda i: F.array_contains(F.slice("tmpl", i + 1, k), mark[_NAME]))
+    plain = F.transform(named, lambda i: window(i, "folded", F.transform(slots("folded", i), lambda x: F.translate(x["w"], _NAME, ""))))
+    made = F.when(F.col("folded").isNull(), made).otherwise(F.concat(made, plain))
+    got = rows.filter(F.col("n") >= k).select(key, "n", F.lit(k).alias("size"), F.explode(made).alias("x"))
+    return got.select(key, "n", "size", F.col("x.pos").alias("pos"), F.col("x.hash").alias("hash"), F.when(F.size("x.slots") > 0, F.col("x.slots")).alias("slots"))
+
+
+def _agree(values: Column) -> Column:
+    """Whether each value of the item stands for one value in the document; values without repeats."""
+    return F.size(F.array_distinct(F.transform(values, lambda x: x["iv"]))) == F.size(values)
+
+
+def _runs(hits: DataFrame) -> DataFrame:
+    """Consistent runs: spans (first and last item position of each stretch), values and doc_start, a row for each doc_id, item_id, size, n_item, spans and values."""
+    values = F.when(F.col("slots").isNotNull(), F.arrays_zip(F.col("item_slots").alias("iv"), F.col("slots").alias("v")))
+    spots = F.collect_set(F.struct("ipos", values.alias("values")))
+    runs = hits.groupBy("doc_id", "item_id", "size", "n_item", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(spots.alias("spots"))
+    runs = runs.withColumn("at", F.array_sort(F.array_distinct(F.transform("spots", lambda x: x["ipos"]))))
+    first = F.filter("at", lambda x, i: F.coalesce(F.get("at", i - 1) < x - 1, F.lit(True)))
+    last = F.filter("at", lambda x, i: F.coalesce(F.get("at", i + 1) > x + 1, F.lit(True)))
+    runs = runs.withColumn("spans", F.arrays_zip(first.alias("from"), last.alias("to")))
+
+    def within(low: Column, high: Column) -> Column:
+        got = F.filter("spots", lambda x: (x["ipos"] >= low) & (x["ipos"] <= high) & x["values"].isNotNull())
+        return F.array_sort(F.array_distinct(F.flatten(F.transform(got, lambda x: x["values"]))))
+
+    def run(spans: Column, low: Column, high: Column) -> Column:
+        return F.struct(spans.alias("spans"), within(low, high).alias("values"), (low + F.col("diagonal")).alias("doc_start"))
+
+    runs = runs.withColumn("whole", run(F.col("spans"), F.array_min("at"), F.array_max("at")))
+    parts = F.filter(F.transform("spans", lambda x: run(F.array(x), x["from"], x["to"])), lambda r: _agree(r["values"]))
+    runs = runs.select("doc_id", "item_id", "size", "n_item", F.explode(F.when(_agree(F.col("whole.values")), F.array("whole")).otherwise(parts)).alias("r"))
+    return runs.select("doc_id", "item_id", "size", "n_item", "r.*").groupBy("doc_id", "item_id", "size", "n_item", "spans", "values").agg(F.min("doc_start").alias("doc_start"))
+
+
+def _positions(spans: Column, more: Column | int = 0) -> Column:
+    """Item positions of the spans, each lengthened by more."""
+    return F.array_distinct(F.flatten(F.transform(spans, lambda x: F.sequence(x["from"], x["to"] + more))))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, cover: float = COVER, long: int = LONG) -> DataFrame:
     """doc_id, item_id, doc_start, item_start, n_windows, coverage and verbatim (false: re-parameterised) of each contaminated document and item."""
     items = _templates(_tokens(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL")))
     short = sorted(r[0] for r in items.filter((F.col("n") > 0) & (F.col("n") < window)).select("n").distinct().collect())  # at most window - 1 numbers
@@ -89,19 +138,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     for k in short:
         bench = bench.unionByName(_windows(items.filter(F.col("n") == k), "item_id", k))
         spots = spots.unionByName(_windows(rows, "doc_id", k))
-    bench = bench.select("hash", "size", "item_id", F.col("pos").alias("ipos"), (F.col("n") - F.col("size") + 1).alias("of"), F.col("slots").alias("item_slots")).dropDuplicates(["item_id", "hash", "size", "ipos"])
+    bench = bench.select("hash", "size", "item_id", F.col("pos").alias("ipos"), F.col("n").alias("n_item"), F.col("slots").alias("item_slots")).dropDuplicates(["item_id", "hash", "size", "ipos"])
     if bench.count() <= BROADCAST:
         bench = F.broadcast(bench)  # counted above
 
-    hits = spots.drop("n").join(bench, ["hash", "size"])
-    values = F.arrays_zip(F.col("item_slots").alias("iv"), F.col("slots").alias("v"))
-    runs = hits.groupBy("doc_id", "item_id", "size", "of", (F.col("pos") - F.col("ipos")).alias("diagonal")).agg(
-        F.count_distinct("ipos").alias("n_windows"), F.min("pos").alias("doc_start"), F.min("ipos").alias("item_start"), F.flatten(F.collect_set(values)).alias("values")
+    runs = _runs(spots.drop("n").join(bench, ["hash", "size"]))
+    n_run = F.size(_positions(F.col("spans")))
+    one = F.struct((-n_run).alias("less"), "doc_start", "spans", "values")
+    longest = F.max(F.array_max(F.transform("spans", lambda x: x["to"] - x["from"])) + F.col("size"))
+    pairs = runs.groupBy("doc_id", "item_id", "size", "n_item").agg(F.array_sort(F.collect_list(one)).alias("runs"), longest.alias("longest"))
+
+    def add(acc: Column, x: Column) -> Column:
+        values = F.array_union(acc["values"], x["values"])
+        more = F.struct(F.least(acc["doc_start"], x["doc_start"]).alias("doc_start"), F.array_union(acc["spans"], x["spans"]).alias("spans"), values.alias("values"))
+        return F.when(_agree(values), more).otherwise(acc)
+
+    rest = F.slice("runs", 2, F.greatest(F.size("runs") - 1, F.lit(0)))
+    start = F.struct(F.col("runs")[0]["doc_start"].alias("doc_start"), F.col("runs")[0]["spans"].alias("spans"), F.col("runs")[0]["values"].alias("values"))
+    pairs = pairs.withColumn("u", F.aggregate(rest, start, add))
+    pairs = pairs.withColumn("coverage", F.size(_positions(F.col("u.spans"), F.col("size") - 1)) / F.col("n_item")).filter((F.col("coverage") >= cover) | (F.col("longest") >= long))
+    found = F.struct(
+        F.col("u.doc_start").alias("doc_start"), F.array_min(F.transform("u.spans", lambda x: x["from"])).alias("item_start"), F.size(_positions(F.col("u.spans"))).cast("long").alias("n_windows"), "coverage", F.forall("u.values", lambda x: x["iv"] == x["v"]).alias("verbatim")
     )
-    runs = runs.withColumn("coverage", F.col("n_windows") / F.col("of")).filter(F.col("coverage") >= cover)
-    runs = runs.withColumn("n_item", F.size(F.array_distinct(F.transform("values", lambda x: x["iv"])))).filter(F.col("n_item") == F.size(F.array_distinct("values")))
-    runs = runs.withColumn("verbatim", F.forall("values", lambda x: x["iv"] == x["v"]))
-    best = runs.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("doc_start", "item_start", "n_windows", "coverage", "verbatim"), F.struct("coverage", -F.col("doc_start"))).alias("b"))
+    best = pairs.groupBy("doc_id", "item_id").agg(F.max_by(found, F.struct("coverage", -F.col("u.doc_start"))).alias("b"))
     return best.select("doc_id", "item_id", "b.*")
 
 

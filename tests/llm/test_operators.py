@@ -168,6 +168,21 @@ def test_slots_must_agree(spark):
     assert [r.doc_id for r in got.collect()] == [1]
 
 
+def test_decontamination_of_torn_and_part_passages(spark):
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    trip = "a slow train carries all the passengers from the coast to Lisbon and then goes back to the coast"
+    bench = [(n, " ".join(words[:n])) for n in (16, 30, 60)] + [(1, trip)]
+    put = lambda n, at: " ".join([*words[:at], "extra", *words[at:n]])
+    other = lambda n, at: " ".join([*words[:at], "extra", *words[at + 1 : n]])
+    upper = "the capital of Spain is Madrid, the capital of France is Paris, the capital of Italy is Rome"
+    texts = {100: put(16, 8), 101: other(16, 8), 102: put(30, 15), 103: put(60, 30), 104: "so " + " ".join(words[20:53]) + " end", 105: trip.replace("Lisbon", "New York"), 106: upper.lower(), 107: " ".join(words[3:10])}
+    bench.append((2, upper))
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contamination(spark.createDataFrame([*texts.items()], "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()}
+    assert {(100, 16), (101, 16), (102, 30), (103, 60), (104, 60), (105, 1), (106, 2)} <= set(got)
+    assert got[103, 60].coverage == 1.0 and got[103, 60].verbatim and got[106, 2].verbatim and not [k for k in got if k[0] == 107]
+    assert got[104, 60].coverage == 33 / 60
+
+
 DATA = "/root/testdata/sf0.01"
 
 
