@@ -25,8 +25,8 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 WINDOW = 16
 #: Least entropy, in bits a character, of a window of WINDOW characters, by class.
 LEAST = {"hex": 2.9, "upper": 3.2, "mixed": 3.4}
-#: Candidates that are no secrets: words (with joining marks), numbers, addresses of files, and stand-ins.
-ALLOW = r"^[A-Z]?[a-z]+(?:[-_/+=][A-Za-z]?[a-z]*)*$|^[A-Z]+(?:[-_/+=][A-Z]*)*$|^[0-9_/+=-]+$|^(?:[A-Za-z0-9]{1,12}[-_/=+])+[A-Za-z0-9]{0,12}$|(?i:example|placeholder|changeme|x{6})|(.)\1{7}"
+#: Candidates that are no secrets: words (with joining marks), numbers, addresses of files (short parts, each of letters or of digits alone), and stand-ins.
+ALLOW = r"^[A-Z]?[a-z]+(?:[-_/+=][A-Za-z]?[a-z]*)*$|^[A-Z]+(?:[-_/+=][A-Z]*)*$|^[0-9_/+=-]+$|^(?:(?:[A-Za-z]{1,12}|[0-9]{1,12})[-_/=+])+(?:[A-Za-z]{1,12}|[0-9]{1,12})?$|(?i:example|placeholder|changeme|x{6})|(.)\1{7}"
 
 _SPAN = "array<struct<kind:int,start:int,end:int>>"
 

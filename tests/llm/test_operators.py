@@ -114,6 +114,14 @@ def test_secret_classes(spark):
     assert all(k < 3 for k, _, _ in spans[1]) and spans[2] == [] and any(k == 3 for k, _, _ in spans[3])
 
 
+def test_keys_of_short_mixed_parts_are_judged(spark):
+    rng = np.random.default_rng(3)
+    keys = ["-".join("".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZ23456789"), 5)) for _ in range(5)) for _ in range(40)]
+    rows = [*enumerate(keys), (100, "see archive/2024/reports/annual_summary/final now")]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(len(got[i]) > 0 for i in range(40)) >= 36 and got[100] == []
+
+
 def test_packing(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
