@@ -222,6 +222,12 @@ def test_classifiers_odd(spark, docs, empty, op):
     assert op.fit(docs, labels.limit(0)) is None and op.predict(empty, None).count() == 0
 
 
+def test_toxicity_learns_from_4000_rows_of_each_class(spark):
+    docs = spark.range(7200).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).alias("toxic"))
+    assert toxicity.labelled_sample(docs, labels, "toxic", toxicity.SAMPLE).count() == 7200
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
