@@ -103,6 +103,14 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
+def threshold(best: np.ndarray, right: np.ndarray) -> float:
+    """The least score from which on TARGET of the rows are right; infinite, so that all are rejected, if there is none."""
+    order = np.argsort(-best)
+    ends = np.append(np.diff(best[order]) < 0, True)  # equal scores are taken or left together
+    good = np.flatnonzero((np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= TARGET) & ends)
+    return float(best[order[good[-1]]]) if len(good) else np.inf
+
+
 def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: list[str], seed: int = 7) -> Model:
     """SGD on embeddings and softmax weights; then temperature and threshold from the kept-out eighth."""
     rng = np.random.default_rng(seed)
@@ -137,10 +145,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: list
         nll = [-np.log(_softmax(z / t)[np.arange(len(check)), y[check]] + 1e-12).mean() for t in grid]
         model.temperature = float(grid[int(np.argmin(nll))])
         p = _softmax(z / model.temperature)
-        best, right = p.max(axis=1), p.argmax(axis=1) == y[check]
-        order = np.argsort(-best)
-        good = np.flatnonzero(np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= TARGET)
-        model.reject_below = float(min(best[order[good[-1]]], 0.5)) if len(good) else 0.5
+        model.reject_below = threshold(p.max(axis=1), p.argmax(axis=1) == y[check])
     return model
 
 

@@ -208,6 +208,12 @@ def test_language_odd(spark, docs):
     assert {r.doc_id: r.lang_pred for r in langid.predict(rows, model).collect()} == {1: "und", 2: "und", 3: "en", 4: "fr", 5: "und"}
 
 
+def test_rejection_keeps_its_target():
+    best, right = np.repeat([0.9, 0.7, 0.3], [200, 100, 10]), np.repeat([True, False, True], [200, 30, 80])
+    assert langid.threshold(best, right) == 0.9 and langid.threshold(best, np.ones(310, bool)) == 0.3
+    assert langid.threshold(best, np.zeros(310, bool)) > 1
+
+
 @pytest.mark.parametrize(("run", "label", "least"), [(quality.op5_quality, "quality", 0.95), (toxicity.op7_toxicity, "toxic", 0.88)])
 def test_classifiers_held_out(spark, run, label, least):
     out = run(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").filter("held_out")
