@@ -8,7 +8,7 @@ follow. Stretches of windows at or above the class's threshold are spans of kind
 allow-list covers the candidate or a base span already covers the stretch.
 
 Cases: a null or empty text has no span; documents are kept once per row, repeated rows too; other
-columns are ignored; texts of any length are scanned whole.
+columns are kept, whatever their names (but one named as the result is replaced); texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -81,8 +81,17 @@ def _hot(s: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), n - 1), zero, step, lambda acc: acc["out"])
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, any others) with `spans`: array<struct<kind, start, end>> sorted by start, then kind (an index into KINDS)."""
+def _fresh(docs: DataFrame, name: str) -> str:
+    """name, with marks before it until no column of docs has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def find_secrets(docs: DataFrame, name: str = "spans") -> DataFrame:
+    """docs (doc_id, text, any others) with the column `name` (in place of one of that name): array<struct<kind, start, end>> sorted by start, then kind (an index into KINDS)."""
+    known, new = _fresh(docs, "_base"), _fresh(docs, "_hot")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.expr(f"cast(array() as {_SPAN})")
     short = F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2))
@@ -94,10 +103,10 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     )
     odd = F.filter(_positions(text, CANDIDATE), lambda x: ~x["text"].rlike(ALLOW))
     hot = F.flatten(F.transform(odd, lambda x: F.transform(_hot(x["text"]), lambda h: F.struct(F.lit(3).alias("kind"), (x["start"] + h["start"]).alias("start"), (x["start"] + h["end"]).alias("end")))))
-    rows = docs.withColumn("_base", base).withColumn("_hot", F.when(text.rlike(CANDIDATE), hot).otherwise(none))
-    extra = F.filter("_hot", lambda h: ~F.exists("_base", lambda b: (b["start"] <= h["start"]) & (b["end"] >= h["end"])))
+    rows = docs.withColumn(known, base).withColumn(new, F.when(text.rlike(CANDIDATE), hot).otherwise(none))
+    extra = F.filter(new, lambda h: ~F.exists(known, lambda b: (b["start"] <= h["start"]) & (b["end"] >= h["end"])))
     order = lambda a: F.transform(F.array_sort(F.transform(a, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    return rows.withColumn("spans", order(F.concat("_base", extra))).drop("_base", "_hot")
+    return rows.withColumn(name, order(F.concat(known, extra))).drop(known, new)
 
 
 def listed(spans: Column) -> Column:
@@ -117,7 +126,8 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), out.alias("out"))
 
     tail = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text)))
-    return find_secrets(docs).withColumn("text", F.when(F.size("spans") > 0, F.aggregate("spans", zero, step, tail)).otherwise(text)).drop("spans")
+    name = _fresh(docs, "spans")
+    return find_secrets(docs, name).withColumn("text", F.when(F.size(name) > 0, F.aggregate(name, zero, step, tail)).otherwise(text)).drop(name)
 
 
 def op8_secrets(spark, sf_dir: str) -> DataFrame:

@@ -108,6 +108,15 @@ def test_secrets(docs, empty):
     assert secrets.find_secrets(empty.drop("spans")).count() == 0
 
 
+def test_redaction_keeps_columns_of_any_name(docs):
+    rows = docs.withColumn("_base", F.lit(1)).withColumn("_hot", F.lit(2))
+    red, want = secrets.redact(rows), {r.doc_id: r.text for r in secrets.redact(docs.drop("spans")).collect()}
+    assert red.columns == rows.columns
+    assert all((r["spans"], r["_base"], r["_hot"]) == ("x", 1, 2) and r.text == want[r.doc_id] for r in red.collect())
+    found = secrets.find_secrets(rows)
+    assert found.columns == rows.columns and found.first()["_base"] == 1
+
+
 def test_secret_classes(spark):
     got = secrets.find_secrets(spark.createDataFrame([(1, "keitlichenlichkeitbe and-some-long-words-here 4041894974608795404189 aaaaaaaaaaaaaaaaaaaaaaaaaa"), (2, "x token: password: abcdefghijklmnop"), (3, "Bearer eyJhbGciOiJIUzI1NiIsInR5cCI6")], "doc_id long, text string"))
     spans = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in got.collect()}
