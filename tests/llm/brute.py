@@ -1,8 +1,10 @@
 """Plain Python versions of the operators' definitions, and documents that hold the odd cases."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 LONG = "zeta " * 30000
 
@@ -85,3 +87,41 @@ def base_spans(text):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def allowed(s):
+    """A candidate that is no secret: words, numbers, short parts of one kind, stand-ins."""
+    parts = re.split("[-_/+=]", s)
+    every = lambda pattern, some=parts: all(re.fullmatch(pattern, p) for p in some)
+    short = s[0].isalnum() and all(parts[:-1]) and every("[A-Za-z]{1,12}|[0-9]{1,12}", [p for p in parts if p])
+    return every("[A-Za-z]?[a-z]*") or every("[A-Z]*") or every("[0-9]*") or short or re.search(r"(?i)example|placeholder|changeme|x{6}", s) or re.search(r"(.)\1{7}", s)
+
+
+def entropy_spans(text, window=16):
+    """Stretches of windows of candidates at or above the class's entropy, counted anew for each window."""
+    out = []
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text or ""):
+        s = m[0]
+        if allowed(s):
+            continue
+        least = 2.9 if re.fullmatch("[0-9a-f]+", s) else 3.2 if re.fullmatch("[A-Z0-9]+", s) else 3.4
+        for i in range(len(s) - window + 1):
+            share = [n / window for n in Counter(s[i : i + window]).values()]
+            if -sum(p * math.log2(p) for p in share) >= least:
+                a, b = m.start() + i, m.start() + i + window
+                if out and out[-1][0] >= m.start() and a <= out[-1][2]:
+                    out[-1] = (out[-1][0], 3, b)
+                else:
+                    out.append((a, 3, b))
+    base = base_spans(text)
+    return [x for x in out if not any(a <= x[0] and b >= x[2] for a, _, b in base)]
+
+
+def redacted(text, spans):
+    """Each group of overlapping spans replaced by one mark."""
+    out, at = "", 0
+    for a, _, b in sorted(spans):
+        if a >= at:
+            out, at = out + text[at:a] + "[secret]", b
+        at = max(at, b)
+    return out + text[at:]

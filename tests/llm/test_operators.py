@@ -1,6 +1,8 @@
 """The ten operators on small tables with odd cases: against brute force, exact round trips or held-out accuracy."""
 
+import random
 import sys
+import time
 import zlib
 from pathlib import Path
 
@@ -94,18 +96,41 @@ def test_substrings_repeated_rows(docs):
         assert r.n == 2 * n and r.gone == gone + (n if n >= 20 else 0)
 
 
-def test_secrets(docs, empty):
-    names = ("assign", "access", "hex")
-    text = dict(ROWS)
-    extra = 0
-    for r in secrets.find_secrets(docs.drop("spans")).collect():
-        assert [(s.start, s.kind, s.end) for s in r.spans if s.kind < 3] == brute.base_spans(text[r.doc_id]), names
-        extra += sum(s.kind == 3 for s in r.spans)
-    assert extra >= 3
-    red = {r.doc_id: r.text for r in secrets.redact(docs.drop("spans")).collect()}
-    assert red[1000] is None and all("AKIA" not in (t or "") and "Kq9ZtR4b" not in (t or "") for t in red.values())
-    assert red[1006] == text[1006]
-    assert secrets.find_secrets(empty.drop("spans")).count() == 0
+def odd_secrets(seed=5):
+    """Texts with candidates of each class, of mixed entropy, that overlap base spans, at odd places."""
+    r = random.Random(seed)
+    some = ["abcdef0123456789", "ABCDEFGHJKLMNPQRSTUVWXYZ234567", "aZ9+/_=-", "ab", "aaaaAAAA1111zzzzQ-", "".join(map(chr, range(97, 123))) + "0123456789ABCDEFGHIJ+/"]
+    word = lambda: "".join(r.choice(r.choice(some[:4] if r.random() < 0.3 else some)) for _ in range(r.choice([3, 16, 19, 20, 21, 40, 511, 512, 513, 540, 1100])))
+    names = ["password", "apiKey", "SECRET", "token", "AKIA", "é😀", "\n", "", "x"]
+    texts = [" ".join(r.choice(names) + r.choice([" = ", ": '", "", '"="']) + word() for _ in range(r.randint(1, 12))) for _ in range(60)]
+    return [*enumerate(texts), (900, None), (901, ""), (902, "ab-" * 2000), (903, "archive/2024/reports/annual_summary/final"), (904, "é" * 30 + "0123456789abcdef" * 2)]
+
+
+def test_secrets(spark, docs, empty):
+    found = 0
+    for rows, frame in ((ROWS, docs), (odd_secrets(), spark.createDataFrame(odd_secrets(), "doc_id long, text string"))):
+        text, red = dict(rows), {r.doc_id: r.text for r in secrets.redact(frame).collect()}
+        for r in secrets.find_secrets(frame, "found").collect():
+            got, want = [(s.start, s.kind, s.end) for s in r.found], sorted(brute.base_spans(text[r.doc_id]) + brute.entropy_spans(text[r.doc_id]))
+            assert got == want, r.doc_id
+            assert red[r.doc_id] == (None if text[r.doc_id] is None else brute.redacted(text[r.doc_id], want))
+            found += sum(k == 3 for _, k, _ in got)
+    assert found > 50 and secrets.find_secrets(empty).count() == 0 and secrets.redact(empty).count() == 0
+
+
+def test_secrets_of_repeated_rows(docs):
+    assert secrets.find_secrets(docs.union(docs)).count() == 2 * len(ROWS)
+
+
+def test_long_strings_are_scanned_in_linear_time(spark):
+    r = random.Random(2)
+    long = {"slug": "ab-" * 333_000, "blob": "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(300_000)), "hex": " ".join(f"{r.randrange(16**16):016x}" for _ in range(40_000)), "plain": "x" * 1_000_000, "keys": "token=" * 150_000}
+    for name, text in long.items():
+        began = time.time()
+        spans = secrets.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans
+        assert time.time() - began < 25, name
+        assert [(s.start, s.kind, s.end) for s in spans if s.kind < 3] == brute.base_spans(text), name
+        assert len(spans) == 40_000 or name != "hex"
 
 
 def test_redaction_keeps_columns_of_any_name(docs):
