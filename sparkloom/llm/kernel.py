@@ -1,7 +1,11 @@
-"""Array kernels over whole Arrow text columns: words, rolling hashes and per-document reductions.
+"""Array kernels over whole Arrow text columns: words, window hashes and per-document reductions.
 
 A block is the UTF-8 bytes of several texts end to end with their offsets; no step runs a Python
-loop over words. Null texts count as empty ones.
+loop over words (but for those of more than LONG bytes). Null texts count as empty ones.
+
+Hashes are 64 bits, made by steps that each end in mix(): they are not linear in the bytes or words, so
+that texts cannot be told apart worse than by chance because of how they are built. Where chance is not
+good enough, callers take two seeds or compare the bytes themselves.
 """
 
 from __future__ import annotations
@@ -11,29 +15,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
-_WORD_BASE, _SEQ_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+LONG = 64  # bytes: longer words are hashed one by one
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and its inverse modulo 2**64, for i below n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, U64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=U64))
-        _powers[base] = have = (both[0], both[1])
-    return have
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -85,25 +76,52 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return runs(~SPACE[data], offsets)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, from one cumulative polynomial over the bytes."""
-    power, inverse = powers(_WORD_BASE, len(data) + 1)
-    total = np.zeros(len(data) + 1, U64)
-    total[1:] = data
-    total[1:] += U64(1)
-    total[1:] *= power[: len(data)]
-    np.cumsum(total[1:], out=total[1:])  # in place: eight bytes for each byte of text are enough
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number, zeros after the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, *seeds: int):
+    """A 64-bit hash of each span; with several seeds a list, one array for each. Spans of up to eight bytes that are equally long never meet."""
+    size = end - start
+    at8 = eights(data)
+    out = [mix(size.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(seed)) for seed in seeds or (0,)]
+    live = np.flatnonzero(size <= LONG)
+    for step in range(0, LONG, 8):
+        live = live[size[live] > step]
+        if not len(live):
+            break
+        x = at8[start[live] + step] & _MASK[np.minimum(size[live] - step, 8)]
+        for h in out:
+            h[live] = mix(h[live] ^ x * U64(0x9E3779B97F4A7C15))
+    for i in np.flatnonzero(size > LONG):
+        raw = data[start[i] : end[i]].tobytes()
+        for h, seed in zip(out, seeds or (0,), strict=True):
+            h[i] = xxhash.xxh3_64_intdigest(raw, seed)
+    return out if len(seeds) > 1 else out[0]
+
+
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two neighbouring pieces from theirs."""
+    return mix(a * U64(0xC2B2AE3D27D4EB4F) + (b ^ (b >> U64(29))))
 
 
 def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of h[i:i+k] for each i; borders are the caller's to keep."""
-    if len(h) < k:
+    """Hash of h[i:i+k] for each i, from pieces of 1, 2, 4 .. words; borders are the caller's to keep."""
+    n = len(h) - k + 1
+    if n <= 0:
         return np.zeros(0, U64)
-    power, inverse = powers(_SEQ_BASE, len(h) + 1)
-    total = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * power[: len(h)], out=total[1:])
-    return mix((total[k:] - total[:-k]) * inverse[: len(h) - k + 1] + U64(k))
+    piece, out, done, size = h, None, 0, 1
+    while done < k:
+        if k & size:
+            part = piece[done : done + n]
+            out = part if out is None else join(out, part)
+            done += size
+        if done < k:
+            piece, size = join(piece[:-size], piece[size:]), 2 * size
+    return out
 
 
 def inside(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
