@@ -1,24 +1,25 @@
 """Near-duplicates by b-bit MinHash, exact links and connected components.
 
-A document's set is its distinct SHINGLE-word shingles (hashed to 64 bits; A-Z in lower case). Documents
-with equal sets are one class and only the class's smallest doc_id goes on. Each gets HASHES minima: bands
+A document's set is its distinct SHINGLE-word shingles (hashed to 64 bits; A-Z in lower case). Rows with
+equal sets are one class, told by the sets' digests, and only classes go on. Each gets HASHES minima: bands
 of ROWS of them give candidate buckets, and BITS low bits of each, packed, a signature. Within a bucket,
 signatures are compared by counting equal fields; agreement by chance (2**-BITS) is taken out of the
 estimate. Pairs estimated at LEAST or more are confirmed on full sets.
 
-Not all pairs of a bucket are written. First, each bucket (in parts of at most PART rows, all tied to the
-bucket's first row) gives a maximum spanning forest of its estimates: confirmed links of it make
-components. Then, in buckets that still hold several components, rows outside the bucket's largest one are
-compared with all the others: estimates first, then full sets, all in the bucket's task, from which only
-links that hold come out, one for each row and component. So any two candidates at 0.8 or more end in one
-component.
+Not all pairs of a bucket are written. First, each bucket (in parts of at most PART rows and PART_BYTES of
+sets, all tied to the bucket's first row) gives a maximum spanning forest of its estimates: confirmed links
+of it make components. Then, in buckets that still hold several components, rows outside the bucket's
+largest one are compared with all the others: by signatures alone at first, which are all that goes to the
+bucket's other parts; where an estimate is high enough, the row's full set follows, and only links that hold
+come out, one for each row and component. So any two candidates at 0.8 or more end in one component.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8**5)**25 = 5e-5, and its estimate falls
-short of LEAST with a like one (four standard errors).
+short of LEAST with a like one (four standard errors). Two different shingles of a pair of documents have
+the same hash with a chance of 2**-64 each.
 
 Cases: a null or empty text has no shingle and is linked with nothing; texts of fewer words than SHINGLE
 have their whole sequence as one shingle; null doc_ids are kept, unlinked, component null; rows that
-repeat a doc_id count as one document if their sets are equal, and join in its component otherwise; other
+repeat a doc_id are one document, linked with whatever any of them is linked with; other
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -37,8 +38,8 @@ from .kernel import LOWER, U64, blocks, column, inside, mix, per_text, window_ha
 
 HASHES, BANDS, ROWS, BITS = 128, 25, 5, 8
 LEAST = 0.66
-PART = 4096
-BLOOM = 1 << 23  # bits, a fixed size: more candidates only mean more false passes
+PART, PART_BYTES = 1024, 32 << 20
+BLOOM = 1 << 26  # bits at most: beyond it, documents are picked by a join on doc_id
 
 _rng = np.random.default_rng(20)
 _MUL = (_rng.integers(0, 1 << 31, HASHES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -76,8 +77,7 @@ def _signer(k: int):
                 for i in range(n):
                     if base[i + 1] > base[i]:
                         u = np.unique(got[base[i] : base[i + 1]])
-                        count[i] = len(u)
-                        digest[i] = np.array([len(u), mix(u).sum(dtype=U64), mix(u ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)], "<u8").tobytes()
+                        count[i], digest[i] = len(u), _digest(u)
                 x = (got >> U64(32)).astype(np.uint32)
                 minima = np.empty((n, HASHES), np.uint32)
                 for j in range(HASHES):
@@ -152,32 +152,51 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(edges)
 
 
+def _candidates(i: int, guest: bool, comp: np.ndarray, own: np.ndarray, main, sig: np.ndarray) -> np.ndarray:
+    """Rows of a list in other components that row i is to be compared with, and like enough by signature."""
+    to = own[comp[own] != comp[i]]
+    if not guest:
+        to = to[(comp[to] == main) | (to > i)]
+    return to[estimate(sig[i], sig[to]) >= LEAST] if len(to) else to
+
+
+def _main(comp: np.ndarray):
+    """The largest component of a list."""
+    names, n = np.unique(comp, return_counts=True)
+    return names[np.argmax(n)]
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each list, the rows outside its largest component (or sent along from other parts) that a signature of another component is like: lid and id."""
+    for lid, ids, comp, sig, guest in _lists(batches, ("lid", "id", "comp", "signature", "guest")):
+        comp, sig, guest = np.array(comp), _signatures(sig), np.array(guest)
+        own = np.flatnonzero(~guest)
+        if len(own):
+            main = _main(comp[own])
+            out = [ids[i] for i in np.flatnonzero(guest | (comp != main)) if len(_candidates(i, guest[i], comp, own, main, sig))]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), lid[0])), pa.array(out, pa.int64())], names=["lid", "id"])
+
+
 def _across(num: int, den: int):
-    """Links between components, of rows outside the list's largest one (or sent along from other parts) with the
-    others: estimates first, then full sets, counted for all the others at once. One link for each row and component."""
+    """Links between components, of rows marked as `near`, on full sets, counted for all candidates at once. One link for each row and component."""
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
-        for ids, comp, sig, raw, guest in _lists(batches, ("id", "comp", "signature", "members", "guest")):
+        for ids, comp, sig, raw, guest, near in _lists(batches, ("id", "comp", "signature", "members", "guest", "near")):
             ids, comp, sig, guest = np.array(ids), np.array(comp), _signatures(sig), np.array(guest)
             own = np.flatnonzero(~guest)
             if not len(own):
                 continue
-            names, n = np.unique(comp[own], return_counts=True)
-            main = names[np.argmax(n)]
-            sets = None
-            for i in np.flatnonzero(guest | (comp != main)):
-                to = own[comp[own] != comp[i]]
-                if not guest[i]:
-                    to = to[(comp[to] == main) | (to > i)]
-                to = to[estimate(sig[i], sig[to]) >= LEAST] if len(to) else to
+            main = _main(comp[own])
+            size = np.array([len(x) // 8 for x in raw])
+            first = np.concatenate(([0], np.cumsum(size)))
+            values, sets = np.unique(np.frombuffer(b"".join(raw), "<u8"), return_inverse=True)
+            sets, mark = sets.astype(np.int32 if len(values) < 1 << 31 else np.int64), np.zeros(len(values), np.int32)
+            for i in np.flatnonzero(np.array(near)):
+                to = _candidates(i, guest[i], comp, own, main, sig)
                 if not len(to):
                     continue
-                if sets is None:
-                    size = np.array([len(x) // 6 for x in raw])
-                    first = np.concatenate(([0], np.cumsum(size)))
-                    values, sets = np.unique(np.concatenate([_unpack_set(x) for x in raw]), return_inverse=True)
-                    mark = np.zeros(len(values), np.int32)
                 mark[sets[first[i] : first[i + 1]]] = 1
                 same = np.array([mark[sets[first[j] : first[j + 1]]].sum() for j in to]) if len(to) < 16 else np.add.reduceat(mark[sets], first[:-1])[to]
                 mark[sets[first[i] : first[i + 1]]] = 0
@@ -193,27 +212,23 @@ def _across(num: int, den: int):
     return links
 
 
-def _pack_set(u: np.ndarray) -> bytes:
-    return u.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _digest(u: np.ndarray) -> bytes:
+    """Of a set: its size and two sums, 192 bits."""
+    return np.array([len(u), mix(u).sum(dtype=U64), mix(u ^ U64(0x5851F42D4C957F2D)).sum(dtype=U64)], "<u8").tobytes()
 
 
-def _unpack_set(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.reshape(-1).view("<u8")
-
-
-def _setter(k: int, bloom: np.ndarray):
-    """Sorted sets (48 bits of each hash) of the documents that the filter passes."""
+def _setter(k: int, shared):
+    """Digests and sorted sets of the documents that the filter (if there is one) passes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            slot = column(batch, "slot").to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((bloom[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
+            if shared is not None:
+                bloom, slot = shared.value, column(batch, "slot").to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array((bloom[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1))
             for lo, hi, data, offsets in blocks(column(batch, "text"), 1 << 18):
                 got, base = shingles(data, offsets, k)
-                got &= U64((1 << 48) - 1)
-                yield pa.RecordBatch.from_arrays([column(batch, "doc_id").slice(lo, hi - lo), pa.array([_pack_set(np.unique(got[base[i] : base[i + 1]])) for i in range(hi - lo)], pa.binary())], names=["id", "members"])
+                sets = [np.unique(got[base[i] : base[i + 1]]) for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(u) for u in sets], pa.binary()), pa.array([u.astype("<u8").tobytes() for u in sets], pa.binary())], names=["digest", "members"])
 
     return make
 
@@ -223,7 +238,7 @@ def _confirmer(num: int, den: int):
         for batch in batches:
             keep = []
             for x, y in zip(column(batch, "x"), column(batch, "y"), strict=True):
-                u, v = _unpack_set(x.as_py()), _unpack_set(y.as_py())
+                u, v = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
                 at = np.minimum(np.searchsorted(v, u), max(len(v) - 1, 0))
                 same = int((v[at] == u).sum()) if len(v) else 0
                 keep.append(den * same >= num * (len(u) + len(v) - same))
@@ -232,22 +247,30 @@ def _confirmer(num: int, den: int):
     return confirm
 
 
+def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """id and members, the full set, of the classes in ids (id), from the texts of their smallest doc_ids.
 
-def _sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """id and members, the full set, of the documents in ids (id). Only texts that a filter of BLOOM bits passes give sets."""
-    maps = ids.select((F.pmod(F.xxhash64("id"), F.lit(BLOOM)) + 1).alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect()
-    bloom = np.zeros(BLOOM >> 3, np.uint8)
-    for r in maps:  # at most BLOOM / 32768 rows of 4 KB; slots and bucket numbers count from 1
-        raw = np.frombuffer(bytes(r["bits"]), np.uint8)
-        at = (r["n"] - 1) * 4096
-        bloom[at : at + len(raw)] = raw
-    rows = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(BLOOM))).filter("slot IS NOT NULL")
-    return common.materialize(rows.mapInArrow(common.freeing(_setter(k, bloom)), "id long, members binary"), "sets").dropDuplicates(["id"])
-
-
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    Texts are picked by a filter of 16 to 32 bits for each class, which is counted first, or, where that has more than BLOOM bits, by a join.
+    """
+    spark = docs.sparkSession
+    wanted = common.materialize(ids.select("id").distinct().join(classes.select("id", "digest", "rep"), "id"), "wanted")
+    bits = max(1 << 16, 1 << (16 * wanted.count()).bit_length())
+    if bits <= BLOOM:
+        maps = wanted.select((F.pmod(F.xxhash64("rep"), F.lit(bits)) + 1).alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect()
+        bloom = np.zeros(bits >> 3, np.uint8)
+        for r in maps:  # at most BLOOM / 32768 rows of 4 KB; slots and bucket numbers count from 1
+            raw, at = np.frombuffer(bytes(r["bits"]), np.uint8), (r["n"] - 1) * 4096
+            bloom[at : at + len(raw)] = raw[: len(bloom) - at]
+        rows, shared = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(bits))).filter("slot IS NOT NULL"), spark.sparkContext.broadcast(bloom)
+    else:
+        rows, shared = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), None
+    made = common.materialize(rows.mapInArrow(common.freeing(_setter(k, shared)), "digest binary, members binary"), "sets")
+    return made.join(wanted.select("id", "digest"), "digest").select("id", "members").dropDuplicates(["id"])
+
+
+def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough."""
-    sets = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), docs, k)
+    sets = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), classes, docs, k)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     return common.materialize(both.select("a", "b", "x", "y").mapInArrow(common.freeing(_confirmer(num, den)), "a long, b long"), "confirmed")
 
@@ -260,25 +283,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = common.materialize(docs.mapInArrow(common.freeing(_signer(shingle)), SIGNED), "signed")
     known = signed.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = common.materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-    reps = known.join(classes.select(F.col("digest").alias("_digest"), F.col("rep").alias("doc_id")), "doc_id").filter(F.col("digest") == F.col("_digest"))
-    reps = common.materialize(reps.select(F.col("doc_id").alias("id"), "digest", "signature", "bands").dropDuplicates(["id", "digest"]).drop("digest"), "reps")
-
-    banded = reps.select("id", F.explode("bands").alias("band"))
-    counts = common.materialize(banded.groupBy("band").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "bands")
-    dealt = banded.join(counts, "band").withColumn("blk", F.pmod(F.xxhash64("id"), F.ceil(F.col("c") / part)))
-    listed = common.materialize(dealt.groupBy("band", "blk").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.max("c").alias("c")), "lists")  # at most about part ids each
-    large = listed.filter(F.col("c") > part)
-    lists = listed.withColumn("lid", F.when(F.col("c") > part, F.xxhash64("band", "blk")).otherwise(F.xxhash64("ids"))).dropDuplicates(["lid"])
-    lists = common.materialize(lists.filter("size(ids) > 1 OR c > " + str(part)).select("lid", "band", "blk", "c", "ids"), "unique-lists")
-    rows = lists.select("lid", "band", "blk", "c", F.explode("ids").alias("id"))
-    signatures = reps.select("id", "signature").dropDuplicates(["id"])
+    # equal digests have equal signatures and bands, so that any will do; the written numbers name classes from here on
+    found = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
+    classes = common.materialize(found.withColumn("id", F.monotonically_increasing_id()), "classes")
+
+    banded = classes.select("id", "size", F.explode("bands").alias("band"))
+    counts = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("bytes")).filter("c > 1")
+    counts = common.materialize(counts.select("band", "c", F.ceil(F.greatest(F.col("c") / part, F.col("bytes") * 8 / PART_BYTES)).alias("parts")), "bands")
+    dealt = banded.join(counts, "band").withColumn("blk", F.pmod(F.xxhash64("id"), "parts"))
+    listed = common.materialize(dealt.groupBy("band", "blk", "parts").agg(F.array_sort(F.collect_set("id")).alias("ids")), "lists")  # at most about part ids each
+    large = listed.filter("parts > 1")
+    lists = listed.withColumn("lid", F.when(F.col("parts") > 1, F.xxhash64("band", "blk")).otherwise(F.xxhash64("ids"))).dropDuplicates(["lid"])
+    lists = common.materialize(lists.filter("size(ids) > 1 OR parts > 1").select("lid", "band", "blk", "parts", "ids"), "unique-lists")
+    rows = lists.select("lid", "band", "blk", "parts", F.explode("ids").alias("id"))
+    signatures = classes.select("id", "signature")
     grouped = rows.select("lid", "id").join(signatures, "id").repartition(n, "lid").sortWithinPartitions("lid", "id")
     trees = grouped.mapInArrow(common.freeing(_forests), "a long, b long")
     first = large.groupBy("band").agg(F.min(F.get("ids", F.lit(0))).alias("a"))
     tied = large.join(first, "band").select(F.col("a"), F.explode("ids").alias("b")).filter("a <> b")
     pairs = common.materialize(trees.union(tied).distinct(), "pairs")
-    links = _confirmed(pairs, docs, shingle, num, den)
+    # rows of one doc_id are one document
+    torn = known.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("last")).filter("one <> last").select("doc_id", "one")
+    twice = known.select("doc_id", "digest").join(torn, "doc_id").filter("digest <> one").select("digest", "one").distinct()
+    named = classes.select("id", "digest")
+    same = twice.join(named, "digest").withColumnRenamed("id", "a").join(named.select(F.col("digest").alias("one"), F.col("id").alias("b")), "one").select("a", "b")
+    links = common.materialize(_confirmed(pairs, classes, docs, shingle, num, den).union(same), "links")
     comp = components(links)
 
     state = rows.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -286,17 +315,23 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     mixed = state.groupBy("band").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("band")
     open_rows = common.materialize(state.join(common.materialize(mixed, "mixed"), "band"), "open")
     if open_rows.limit(1).count():
-        open_rows = open_rows.join(_sets(open_rows.select("id"), docs, shingle), "id")
-        sizes = open_rows.filter(F.col("c") > part).groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.max(F.lit(0)).alias("z")).drop("z")
-        parts = large.select("band", "blk", F.xxhash64("band", "blk").alias("to_lid"))
-        guests = open_rows.filter(F.col("c") > part).join(common.materialize(sizes, "main"), "band").filter("comp <> main").join(parts.withColumnRenamed("blk", "to_blk"), "band").filter("blk < to_blk OR blk > to_blk")
-        guests = guests.select(F.col("to_lid").alias("lid"), "id", "comp", "signature", "members", F.lit(True).alias("guest"))
-        compared = open_rows.select("lid", "id", "comp", "signature", "members", F.lit(False).alias("guest")).unionByName(guests)
-        more = compared.repartition(n, "lid").sortWithinPartitions("lid", "id").mapInArrow(common.freeing(_across(num, den)), "a long, b long")
-        links = common.materialize(links.union(more).distinct(), "all-links")
-        comp = components(links)
-
-    groups = common.materialize(classes.select("digest", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("comp", "rep").alias("component_id")), "groups")
+        hot = open_rows.filter("parts > 1")
+        main = hot.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
+        others = large.select("band", F.col("blk").alias("to_blk"), F.xxhash64("band", "blk").alias("to_lid"))
+        guests = hot.join(common.materialize(main, "main"), "band").filter("comp <> main").join(others, "band").filter("blk <> to_blk")
+        compared = open_rows.select("lid", "id", "comp", "signature", F.lit(False).alias("guest")).unionByName(guests.select(F.col("to_lid").alias("lid"), "id", "comp", "signature", F.lit(True).alias("guest")))
+        compared = common.materialize(compared, "compared")
+        near = common.materialize(compared.repartition(n, "lid").sortWithinPartitions("lid", "id").mapInArrow(common.freeing(_near), "lid long, id long"), "near")
+        # lists where a signature is like one of another component: their own rows, and of the guests those it was
+        left = compared.join(near.select("lid").distinct(), "lid", "left_semi").join(near.withColumn("near", F.lit(True)), ["lid", "id"], "left").filter("near OR NOT guest").withColumn("near", F.coalesce("near", F.lit(False)))
+        left = common.materialize(left, "left")
+        whole = left.join(_sets(left, classes, docs, shingle), "id")
+        more = whole.repartition(n, "lid").sortWithinPartitions("lid", "id").mapInArrow(common.freeing(_across(num, den)), "a long, b long")
+        comp = components(common.materialize(links.union(more).distinct(), "all-links"))
+
+    placed = classes.select("id", "digest", "rep").join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    least = placed.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    groups = common.materialize(placed.join(least, "comp").select("digest", "component_id"), "groups")
     out = signed.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(component)

@@ -41,23 +41,26 @@ def shingles(text, k):
 
 
 def near_duplicates(rows, k, num=80, den=100):
-    sets = {d: shingles(t, k) for d, t in rows}
-    root = {d: d for d in sets}
+    """Sorted (doc_id, n_shingles, component, kept) of each row: rows of one doc_id are one document, all pairs of texts are compared."""
+    sets = [shingles(t, k) for _, t in rows]
+    root = list(range(len(rows)))
 
     def find(x):
         while root[x] != x:
+            root[x] = root[root[x]]
             x = root[x]
         return x
 
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and (rows[i][0] == rows[j][0] or den * len(a & b) >= num * len(a | b)):
+                root[find(i)] = find(j)
     low = {}
-    for d in sorted(sets):
-        low.setdefault(find(d), d)
-    return {d: (len(sets[d]), low[find(d)], low[find(d)] == d) for d in sets}
+    for i, (d, _) in enumerate(rows):
+        low[find(i)] = min(d, low.get(find(i), d))
+    comp = [low[find(i)] if sets[i] else rows[i][0] for i in range(len(rows))]
+    return sorted((d, len(s), c, d == c) for (d, _), s, c in zip(rows, sets, comp, strict=True))
 
 
 def repeats(rows, k=20):

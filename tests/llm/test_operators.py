@@ -44,17 +44,56 @@ def test_warc_round_trip(spark):
     assert warc.read_records(warc.write_archives(none)).count() == 0
 
 
-@pytest.mark.parametrize("part", [4096, 4])
+def found(frame, **more):
+    return sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame, shingle=4, **more).collect())
+
+
+@pytest.mark.parametrize("part", [minhash.PART, 4])
 def test_near_duplicates(docs, part):
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs, shingle=4, part=part).collect()}
-    assert got == brute.near_duplicates(ROWS, 4)
+    assert found(docs, part=part) == brute.near_duplicates(ROWS, 4)
 
 
 def test_near_duplicates_odd(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
     twice = minhash.near_duplicates(docs.union(docs).union(docs.withColumn("doc_id", F.lit(None).cast("long"))), shingle=4).collect()
     want = brute.near_duplicates(ROWS, 4)
-    assert sorted((r.doc_id, r.component_id) for r in twice if r.doc_id is not None) == sorted((d, c) for d, (_, c, _) in want.items() for _ in "ab")
+    assert sorted((r.doc_id, r.component_id) for r in twice if r.doc_id is not None) == sorted((d, c) for d, _, c, _ in want for _ in "ab")
+    assert {(r.component_id, r.kept) for r in twice if r.doc_id is None} == {(None, True)}
+
+
+def test_near_duplicates_of_repeated_doc_ids(spark):
+    say = lambda name, n=60: [f"{name}{i}" for i in range(n)]
+    a, b, c = say("a"), say("b"), say("c")
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*a, "x"])), (9, " ".join([*b, "y"])), (11, " ".join(c)), (11, None), (2, " ".join([*c, "z"])), (13, ""), (13, "one two")]
+    want = brute.near_duplicates(rows, 4)
+    assert {(d, c) for d, _, c, _ in want} >= {(5, 5), (7, 5), (9, 5)}
+    for seed in range(3):
+        order = random.Random(seed).sample(rows, len(rows))
+        assert found(spark.createDataFrame(order, "doc_id long, text string").repartition(3)) == want
+
+
+def test_near_duplicates_in_hot_buckets_of_several_components(spark, monkeypatch):
+    """Drifting versions of few texts: buckets of several parts that hold several components."""
+    r = random.Random(4)
+    rows, base = [], [f"w{i}" for i in range(70)]
+    for family in range(5):
+        own = list(base)
+        for i in r.sample(range(70), 6):
+            own[i] = f"f{family}x{i}"
+        for k in range(40):
+            now = list(own)
+            for i in r.sample(range(70), r.randint(0, 3)):
+                now[i] = f"v{r.randrange(4)}"
+            if k % 8 == 0:
+                own[r.randrange(70)] = f"d{family}{k}"
+            rows.append((1000 * family + 7 * k % 997, " ".join(now)))
+    want = brute.near_duplicates(rows, 4)
+    assert 3 < len({c for _, _, c, _ in want}) < 190
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert found(frame) == want and found(frame, part=8) == want
+    monkeypatch.setattr(minhash, "PART_BYTES", 2000)  # parts by the bytes of their sets
+    monkeypatch.setattr(minhash, "BLOOM", 1)  # texts by a join
+    assert found(frame) == want
 
 
 def test_components_of_long_chains(spark):
