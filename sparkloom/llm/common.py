@@ -2,23 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import os
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import fresh_path, materialize, scope, shared_dir  # noqa: F401
+
+
+#: Bounds of one Arrow batch, in rows and bytes; texts can be very long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}
+
 
 def tune(spark: SparkSession) -> None:
-    """Bound the memory of one Arrow batch by bytes and rows; texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
+    """BATCHES for this session, where it has no setting of its own: results are lazy, so that the setting must outlast the call."""
+    own = spark.conf.getAll
+    for key, value in BATCHES.items():
+        if key not in own:
+            spark.conf.set(key, value)
 
 
 def freeing(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
@@ -36,33 +39,23 @@ def freeing(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return run
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where the cluster names none, a local one for tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    base = tempfile.mkdtemp(prefix="sparkloom-", dir=os.environ.get("TMPDIR", "/tmp"))
-    atexit.register(shutil.rmtree, base, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{base}")
-    return f"file://{base}"
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and losing an executor loses nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hash_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    """At most n rows, those with the smallest hash of key: a deterministic bounded sample (a top-k plan, no global sort)."""
-    return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(n)
+def sample(rows: DataFrame, n: int, total: int) -> list:
+    """Of rows (doc_id, others) at most n, one for each doc_id (the least of its others): those with the smallest hash of it.
+
+    total is about how many rows there are: from it follows a bound on the hash under which some 4 n are looked at. Where that
+    leaves too few ids, because rows repeat theirs, the bound goes up until there are n or none is left out. Null ids are not taken.
+    """
+    rows = rows.filter("doc_id IS NOT NULL")
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 62))
+    share = 4 * n / max(total, 1)
+    while True:
+        part = rows if share >= 0.5 else rows.filter(at < F.lit(int(share * (1 << 62))))
+        others = [c for c in rows.columns if c != "doc_id"]
+        got = part.groupBy("doc_id").agg(F.min(F.struct(*others)).alias("_v")).select("doc_id", "_v.*").orderBy(at, "doc_id").limit(n).collect()
+        if len(got) == n or share >= 0.5:
+            return got
+        share *= 8

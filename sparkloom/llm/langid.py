@@ -7,8 +7,8 @@ embedding and softmax collapse into one table of logits per bucket, which is wha
 temperature, fitted on rows kept out of training, and texts below the calibrated threshold are marked
 as rejected.
 
-Bound: SAMPLE labelled rows (those with the smallest hash of doc_id) are fitted, of which every eighth
-only calibrates.
+Bound: SAMPLE labelled documents (those with the smallest hash of doc_id, of rows that repeat one a single
+one) with together SAMPLE_BYTES of text are fitted, of which every eighth only calibrates.
 
 Cases: a null text or one without any letter is `und` with score 0 and rejected; rows with a null lang
 are scored but not learned from; no labelled rows at all: every text is `und`; very long texts are read
@@ -29,7 +29,8 @@ from . import common
 from .kernel import LOWER, blocks, column, per_text
 
 BUCKETS, DIM, ORDERS = 1 << 15, 8, (2, 3, 4)
-SAMPLE, STEPS, BATCH, RATE, RATE_OUT, RATE_BIAS = 2000, 400, 32, 300.0, 2.0, 0.05
+SAMPLE, SAMPLE_BYTES = 2000, 32 << 20
+STEPS, BATCH, RATE, RATE_OUT, RATE_BIAS = 400, 32, 300.0, 2.0, 0.05
 TARGET = 0.99  # accuracy wanted among texts that are not rejected
 UND = "und"
 
@@ -152,12 +153,18 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, labels: list
 def fit(labelled: DataFrame) -> Model | None:
     """A model from labelled rows (doc_id, text, lang); None if there are none."""
     common.tune(labelled.sparkSession)
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    few = common.hash_sample(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang"), "doc_id", SAMPLE)
-    ids = [r.doc_id for r in few.select("doc_id").collect() if r.doc_id is not None]
-    if not ids:
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    picked, left = [], SAMPLE_BYTES
+    for r in common.sample(rows.select("doc_id", "h", "lang", F.octet_length("text").alias("size")), SAMPLE, labelled.filter("lang IS NOT NULL").count()):
+        if r["size"] <= left:
+            left -= r["size"]
+            picked.append((r["doc_id"], r["h"], r["lang"]))
+    if not picked:
         return None
-    got = rows.filter(F.col("doc_id").isin(ids)).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(common.freeing(_bags), "doc_id long, lang string, bucket binary, share binary").collect()
+    few = F.broadcast(labelled.sparkSession.createDataFrame(picked, "doc_id long, h long, lang string"))  # at most SAMPLE rows
+    chosen = rows.filter(F.col("doc_id").isin([r[0] for r in picked])).join(few, ["doc_id", "h", "lang"]).dropDuplicates(["doc_id"])
+    got = chosen.select("doc_id", "lang", "text").mapInArrow(common.freeing(_bags), "doc_id long, lang string, bucket binary, share binary").collect()
     got = sorted(got, key=lambda r: (r.doc_id, r.lang, bytes(r.bucket)))
     labels = sorted({r.lang for r in got})
     bags = [(np.frombuffer(r.bucket, np.int32), np.frombuffer(r.share, np.float32)) for r in got]

@@ -6,14 +6,16 @@ blocks, probe the index with every rolling BLOCK-word window, and look only at t
 around hits. Equal ones are ordered by (doc_id, start); each but the first is a repeat, and overlapping
 repeats make up the maximal repeated runs.
 
-Layout: documents are packed into chunks (compressed texts of about chunk_bytes each), written once. A
-chunk sends each distinct hash once to the bucket of that hash, packed with the others of that bucket, so
-a passage that a third of all documents share costs one entry a chunk. Buckets answer per chunk with the
-hashes that were hit (then: that are not first there), and chunk and answers meet in one task, sorted so
-that the answers come first. Nothing is broadcast or collected but two counts.
+Layout: documents are packed into chunks (compressed texts of about chunk_bytes each), shuffled and written
+once, as a table bucketed by chunk. A chunk sends each distinct hash once to the bucket of that hash, packed
+with the others of that bucket, so a passage that a third of all documents share costs one entry a chunk.
+Buckets answer per chunk with the hashes that were hit (then: that are not first there), and the answers join
+the chunks where they lie. Nothing is broadcast or collected but one count, from which the number of buckets
+follows, so that a bucket holds about BUCKET_WORDS hashes at every size.
 
 Probe hashes have enough bits for the input's words, so that false hits stay rare; they cost a look at a
-window and nothing else, since windows are compared by 64 bits.
+window and nothing else. Windows are compared by 128 bits, of hashes that are not linear in the text: among
+the 1.5e13 windows of 100 TB, any two different ones meet with a probability of about 3e-13.
 
 Cases: a null text has no words; texts with fewer words than WINDOW lose nothing; rows that repeat a
 doc_id are ordered by chunk and place; null doc_ids come last; a text of any length is one document in
@@ -23,6 +25,7 @@ one chunk; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from itertools import compress
 
@@ -34,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .kernel import U64, blocks, column, inside, window_hashes, word_hashes, words
+from .kernel import U64, blocks, column, inside, join, window_hashes, word_hashes, words
 
 WINDOW, BLOCK = 20, 10
 LAST = (1 << 63) - 1
 BUCKET_WORDS = 2_000_000  # distinct hashes that a bucket holds in memory, at most about this many
-MIN_BUCKETS, MAX_BUCKETS = 64, 1 << 14
+MIN_BUCKETS, MOST_PARTS = 64, 100_000  # the latter is Spark's limit on the buckets of a table
 CHUNK = "chunk long, n_words long, payload binary"
-ANSWER = "chunk long, kind int, payload binary"
+ANSWER = "chunk long, payload binary"
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -96,10 +99,16 @@ def _chunker(limit: int):
     return pack
 
 
-def chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """The documents (doc_id, text) as a written table of chunks."""
+def chunks(docs: DataFrame, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """The documents (doc_id, text) as a table of chunks, bucketed by chunk, and in how many parts."""
+    spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.col("text").cast("string").alias("text"))
-    return common.materialize(rows.mapInArrow(common.freeing(_chunker(chunk_bytes)), CHUNK), "chunks")
+    n, name = min(common.partitions(spark), MOST_PARTS), f"sparkloom_{uuid.uuid4().hex}"
+    packed = rows.mapInArrow(common.freeing(_chunker(chunk_bytes)), CHUNK).repartition(n, "chunk")
+    packed.write.format("parquet").bucketBy(n, "chunk").option("path", common.fresh_path(spark, "chunks")).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # its name alone goes: the folder is not the catalogue's
+    return table, n
 
 
 class _Chunk:
@@ -110,22 +119,23 @@ class _Chunk:
         self.offsets = np.concatenate(([0], np.cumsum(np.frombuffer(raw, "<i8", n, 8 + 8 * n))))
         self.data = np.frombuffer(raw, np.uint8, offset=8 + 16 * n)
         self.start, self.end, self.first = words(self.data, self.offsets)
-        self.hashes = word_hashes(self.data, self.start, self.end)
 
-    def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """First word and hash of each window of k words of one document."""
-        at, _ = inside(self.first, k)
-        return at, window_hashes(self.hashes, k)[at]
+    def windows(self, *seeds: int) -> tuple[np.ndarray, ...]:
+        """First word of each window of WINDOW words of one document, and its hashes, one for each seed."""
+        at, _ = inside(self.first, WINDOW)
+        got = word_hashes(self.data, self.start, self.end, *seeds)
+        return at, *(window_hashes(h, WINDOW)[at] for h in (got if len(seeds) > 1 else [got]))
+
+    def probes(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First word of each window of BLOCK words of one document, bits of its hash, and whether it is a reference block."""
+        at, _ = inside(self.first, BLOCK)
+        h = window_hashes(word_hashes(self.data, self.start, self.end), BLOCK)[at]
+        return at, h >> U64(64 - bits), (at - self.first[self.owner(at)]) % BLOCK == 0
 
     def owner(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, at, "right") - 1
 
 
-def _probe_windows(c: _Chunk, bits: int, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    at, h = c.windows(keep)
-    return at, h >> U64(64 - bits), (at - c.first[c.owner(at)]) % keep == 0
-
-
 def _distinct(h: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted distinct values; whether any has the flag; how often each comes."""
     both = np.sort(h << U64(1) | flag.astype(U64))
@@ -142,6 +152,21 @@ def _in_sorted(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == values
 
 
+def _in_pairs(one: np.ndarray, two: np.ndarray, among: np.ndarray, with_: np.ndarray) -> np.ndarray:
+    """Whether (one, two) is among the pairs (among, with_), which are sorted."""
+    out = np.zeros(len(one), bool)
+    at = np.searchsorted(among, one)
+    live = np.arange(len(one))
+    while len(live):
+        live = live[at[live] < len(among)]
+        live = live[among[at[live]] == one[live]]
+        hit = with_[at[live]] == two[live]
+        out[live[hit]] = True
+        live = live[~hit]
+        at[live] += 1
+    return out
+
+
 def _bucketed(chunk: int, bucket: np.ndarray, make, names=("bucket", "chunk", "payload")) -> pa.RecordBatch | None:
     """One packed row for each bucket of sorted bucket numbers."""
     if not len(bucket):
@@ -157,7 +182,7 @@ def _prober(bits: int, top: int):
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, payload in zip(column(batch, "chunk").to_pylist(), column(batch, "payload"), strict=True):
-                _, h, block = _probe_windows(_Chunk(payload.as_py()), bits, BLOCK)
+                _, h, block = _Chunk(payload.as_py()).probes(bits)
                 v, flag, _ = _distinct(h, block)
                 rest = (v & U64((1 << (bits - top)) - 1)) << U64(1) | flag.astype(U64)
                 rest = rest.astype(np.uint32) if bits - top < 32 else rest
@@ -183,14 +208,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int],
         yield now, chunk, payload
 
 
-def _answers(chunk_ids: list[int], who: np.ndarray, values: np.ndarray) -> pa.RecordBatch | None:
-    order = np.lexsort((values, who))
-    who, values = who[order], values[order]
+def _answers(chunk_ids: list[int], who: np.ndarray, *values: np.ndarray) -> pa.RecordBatch | None:
+    """For each chunk the values (sorted already) that are its own; the first ones as differences."""
     if not len(who):
         return None
+    order = np.argsort(who, kind="stable")
+    who, values = who[order], [v[order] for v in values]
     cut = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
     ends = np.append(cut[1:], len(who))
-    return pa.RecordBatch.from_arrays([pa.array([chunk_ids[i] for i in who[cut]], pa.int64()), pa.array(np.zeros(len(cut), np.int32)), pa.array([_pack(_packed_sorted(values[a:b])) for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["chunk", "kind", "payload"])
+    packed = [_pack(_packed_sorted(values[0][a:b]), *(v[a:b] for v in values[1:])) for a, b in zip(cut, ends, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([chunk_ids[i] for i in who[cut]], pa.int64()), pa.array(packed, pa.binary())], names=["chunk", "payload"])
 
 
 def _hits(bits: int, top: int):
@@ -215,39 +242,38 @@ def _hits(bits: int, top: int):
     return find
 
 
-def _with_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, _Chunk, np.ndarray]]:
-    """Chunks with all their answers, sorted: rows come by (chunk, kind), answers (kind 0) first."""
-    now, got = None, []
+def _with_answers(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, _Chunk, list[np.ndarray]]]:
+    """Chunks with all their answers, of width arrays each: put together and sorted."""
     for batch in batches:
-        for chunk, kind, payload in zip(column(batch, "chunk").to_pylist(), column(batch, "kind").to_pylist(), column(batch, "payload"), strict=True):
-            if chunk != now:
-                now, got = chunk, []
-            if kind == 0:
-                got.append(np.cumsum(_unpack(payload.as_py())[0].astype(U64), dtype=U64))
-            else:
-                yield chunk, _Chunk(payload.as_py()), np.sort(np.concatenate(got)) if got else np.zeros(0, U64)
+        for chunk, payload, answers in zip(column(batch, "chunk").to_pylist(), column(batch, "payload"), column(batch, "answers"), strict=True):
+            parts = [_unpack(a) for a in answers.as_py() or []]
+            got = [np.concatenate([np.cumsum(p[0], dtype=U64) if i == 0 else p[i] for p in parts]) if parts else np.zeros(0, U64) for i in range(width)]
+            order = np.lexsort(got[::-1])
+            yield chunk, _Chunk(payload.as_py()), [x[order] for x in got]
 
 
 def _extender(bits: int, top: int):
     """Around hits: the distinct WINDOW-word windows of each chunk, with the smallest doc_id that has them."""
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk, c, told in _with_answers(batches):
-            at, h, block = _probe_windows(c, bits, BLOCK)
+        for chunk, c, (told,) in _with_answers(batches, 1):
+            at, h, block = c.probes(bits)
             v, flag, n = _distinct(h, block)
             here = v[flag & (n > 1)]
             hit = np.zeros(len(c.start) + 1, np.int64)
             hit[at + 1] = _in_sorted(h, told) | _in_sorted(h, here)
             seen = np.concatenate((np.cumsum(hit), np.full(WINDOW, hit.sum())))
-            wide, w = c.windows(WINDOW)
+            if not seen[-1]:
+                continue
+            wide, w, x = c.windows(0, 1)
             near = seen[wide + WINDOW - BLOCK + 1] > seen[wide]
-            wide, w = wide[near], w[near]
+            wide, w, x = wide[near], w[near], x[near]
             doc = c.ids[c.owner(wide)]
-            order = np.lexsort((doc, w))
-            w, doc = w[order], doc[order]
-            one = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1]))) if len(w) else np.zeros(0, np.int64)
-            w, doc = w[one], doc[one].astype(U64)
-            out = _bucketed(chunk, w >> U64(64 - top), lambda a, b, w=w, doc=doc: _pack(_packed_sorted(w[a:b]), doc[a:b]))
+            order = np.lexsort((doc, x, w))
+            w, x, doc = w[order], x[order], doc[order].astype(U64)
+            one = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (x[1:] != x[:-1])))) if len(w) else np.zeros(0, np.int64)
+            w, x, doc = w[one], x[one], doc[one]
+            out = _bucketed(chunk, w >> U64(64 - top), lambda a, b, w=w, x=x, doc=doc: _pack(_packed_sorted(w[a:b]), x[a:b], doc[a:b]))
             if out:
                 yield out
 
@@ -259,12 +285,12 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, chunk, payload in _groups(batches):
         parts = [_unpack(p) for p in payload]
         w = np.concatenate([np.cumsum(p[0], dtype=U64) for p in parts])
-        doc = np.concatenate([p[1] for p in parts])
+        x, doc = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
         who = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        order = np.lexsort((np.array(chunk)[who], doc, w))
-        w, who = w[order], who[order]
-        late = np.concatenate(([False], w[1:] == w[:-1]))
-        out = _answers(chunk, who[late], w[late])
+        order = np.lexsort((np.array(chunk)[who], doc, x, w))
+        w, x, who = w[order], x[order], who[order]
+        late = np.concatenate(([False], (w[1:] == w[:-1]) & (x[1:] == x[:-1])))
+        out = _answers(chunk, who[late], w[late], x[late])
         if out:
             yield out
 
@@ -274,18 +300,17 @@ RESULT = "doc_id long, n_words long, n_removed long, kept string"
 
 def _remover(with_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, c, late in _with_answers(batches):
-            at, w = c.windows(WINDOW)
+        for _, c, (late, late_x) in _with_answers(batches, 2):
+            at, w, x = c.windows(0, 1)
             # all occurrences here but the first by (doc_id, place), which is late only if told so
             place = np.argsort(c.ids, kind="stable")
             rank = np.empty(len(place), np.int64)
             rank[place] = np.arange(len(place))
-            order = np.lexsort((at, rank[c.owner(at)], w)) if len(at) else at
-            repeat = np.zeros(len(at), bool)
+            repeat = _in_pairs(w, x, late, late_x)
             if len(at):
-                s = w[order]
-                repeat[order[1:]] = s[1:] == s[:-1]
-            repeat |= _in_sorted(w, late)
+                order = np.lexsort((at, rank[c.owner(at)], x, w))
+                s, t = w[order], x[order]
+                repeat[order[1:]] |= (s[1:] == s[:-1]) & (t[1:] == t[:-1])
             depth = np.zeros(len(c.start) + WINDOW + 1, np.int64)
             np.add.at(depth, at[repeat], 1)
             np.add.at(depth, at[repeat] + WINDOW, -1)
@@ -310,22 +335,24 @@ def remove_repeats(docs: DataFrame, digest: bool = False, chunk_bytes: int = 1 <
     """doc_id, n_words, n_removed and kept (the words left, joined by one space; with digest their SHA-256) of docs (doc_id, text)."""
     spark = docs.sparkSession
     common.tune(spark)
-    table = chunks(docs, chunk_bytes)
+    table, parts = chunks(docs, chunk_bytes)
     total = table.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     bits = min(56, max(32, int(total).bit_length() + 10))
-    n_buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, total // BUCKET_WORDS))
+    n_buckets = max(MIN_BUCKETS, total // BUCKET_WORDS)
     top = int(n_buckets - 1).bit_length()
     n = max(common.partitions(spark), 8)
-    texts = table.select("chunk", F.lit(1).alias("kind"), "payload")
+    texts = table.select("chunk", "payload")
 
     def by_bucket(rows: DataFrame) -> DataFrame:
         return rows.repartition(n, "bucket").sortWithinPartitions("bucket", "chunk")
 
     def meet(answers: DataFrame) -> DataFrame:
-        return texts.unionByName(answers).repartition(n, "chunk").sortWithinPartitions("chunk", "kind")
+        """Only answers move: the chunks are dealt like this already."""
+        own = answers.repartition(parts, "chunk").groupBy("chunk").agg(F.collect_list("payload").alias("answers"))
+        return texts.join(own, "chunk", "left").select("chunk", "payload", "answers")
 
     row = "bucket int, chunk long, payload binary"
-    hits = by_bucket(table.select("chunk", "payload").mapInArrow(common.freeing(_prober(bits, top)), row)).mapInArrow(common.freeing(_hits(bits, top)), ANSWER)
+    hits = by_bucket(texts.mapInArrow(common.freeing(_prober(bits, top)), row)).mapInArrow(common.freeing(_hits(bits, top)), ANSWER)
     wide = meet(hits).mapInArrow(common.freeing(_extender(bits, top)), row)
     late = by_bucket(wide).mapInArrow(common.freeing(_later), ANSWER)
     return meet(late).mapInArrow(common.freeing(_remover(not digest)), RESULT)

@@ -6,12 +6,15 @@ per-coordinate rates and L1 term leave few non-zero weights, and those pairs of
 what is broadcast. Features are 32-bit hashes; training numbers those that the bounded sample holds, so
 that the model's size is bounded by the sample, and scoring first asks a table of 2**BITS bits.
 
-Bound: at most SAMPLE labelled rows of each class (smallest hash of doc_id first) are fitted. A text's
-features are found over all of it.
+Bound: at most SAMPLE labelled documents of each class (smallest hash of doc_id first, of rows that repeat
+a doc_id one) with together SAMPLE_BYTES of text are fitted. A text's features are found over all of it.
+Features of fewer than MIN_DOCS of these documents are left out: what only one text has tells nothing about
+others. Label 1 weighs POSITIVE times as much as label 0.
 
 Cases: a null or empty text has the score of the bias alone; labels other than 0 and 1 and labels
-without a document are not learned from; repeated rows and several labels of one document count each;
-no labels: every score is 0; extra columns are ignored.
+without a document are not learned from; a document labelled 0 and 1 counts as either; a document of
+several rows is learned from by one; no labels: every score is 0; extra columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from .kernel import LOWER, U64, blocks, column, inside, mix, runs, word_hashes
 from .langid import held_out
 
 BITS = 22
-SAMPLE = 4000  # rows of each class
-EPOCHS, ALPHA, BETA, L1, L2 = 3, 0.3, 1.0, 1.0, 1.0
+SAMPLE, SAMPLE_BYTES = 4000, 32 << 20  # of each class
+EPOCHS, ALPHA, BETA, L1, L2, MIN_DOCS, POSITIVE = 10, 10.0, 1.0, 20.0, 1.0, 5, 4.0
 
 WORD = np.zeros(256, bool)
 for _a, _b in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
@@ -74,15 +77,18 @@ class Model:
 
 
 def train(rows: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Model:
-    """FTRL-proximal over texts as sets of features; the bias has no L1 term. rows is emptied: the features are held once, and numbered in place."""
+    """FTRL-proximal over texts as sets of features; the bias has no L1 term. rows is emptied: the features are held once."""
     cut = np.concatenate(([0], np.cumsum([len(f) for f in rows]))).astype(np.int64)
     flat = np.zeros(cut[-1], np.uint32)
     for i in range(len(rows)):
         flat[cut[i] : cut[i + 1]], rows[i] = rows[i], None
-    names = np.unique(flat)
-    rows[:] = [flat[cut[i] : cut[i + 1]].view(np.int32) for i in range(len(rows))]
-    for f in rows:
-        f[:] = np.searchsorted(names, f.view(np.uint32))
+    names, many = np.unique(flat, return_counts=True)
+    names = names[many >= MIN_DOCS]
+    for i in range(len(rows)):
+        f = flat[cut[i] : cut[i + 1]]
+        at = np.minimum(np.searchsorted(names, f), max(len(names) - 1, 0))
+        rows[i] = at[names[at] == f].astype(np.int32) if len(names) else np.zeros(0, np.int32)
+    del flat
     n, z = np.zeros(len(names)), np.zeros(len(names))
     n0 = z0 = 0.0
     rng = np.random.default_rng(seed)
@@ -95,6 +101,7 @@ def train(rows: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Model:
             f = rows[i]
             w, w0 = weight(z[f], n[f], L1), float(weight(np.array(z0), np.array(n0), 0.0))
             g = 1 / (1 + np.exp(-np.clip(w.sum() + w0, -50, 50))) - y[i]
+            g *= POSITIVE if y[i] else 1.0
             sigma = (np.sqrt(n[f] + g * g) - np.sqrt(n[f])) / ALPHA
             z[f] += g - sigma * w
             n[f] += g * g
@@ -117,16 +124,22 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "y"), pa.array(out, pa.binary())], names=["doc_id", "y", "features"])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int) -> DataFrame:
-    """doc_id, text, y of at most n labelled documents of each class. The ids (at most 2n) go through the driver."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).filter("doc_id IS NOT NULL")
-    few = common.hash_sample(rows.filter("y = 0"), "doc_id", n).unionByName(common.hash_sample(rows.filter("y = 1"), "doc_id", n)).collect()
-    ids = sorted({r.doc_id for r in few})
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """doc_id, text, y of at most n labelled documents of each class, with together most_bytes of text. Their ids (at most 2n) go through the driver."""
     spark = docs.sparkSession
-    picked = spark.createDataFrame([(r.doc_id, r.y) for r in few], "doc_id long, y int") if few else spark.createDataFrame([], "doc_id long, y int")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.filter(F.col("doc_id").isin(ids)) if ids else texts.limit(0)
-    return texts.join(F.broadcast(picked), "doc_id")  # at most 2n pairs of numbers
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = texts.withColumn("h", F.xxhash64("text"))
+    picked: list[tuple[int, int, int]] = []
+    for y in (0, 1):
+        mine = labels.filter(F.col(label).cast("int") == y).select(F.col("doc_id").cast("long").alias("doc_id"))
+        left = most_bytes
+        for r in common.sample(mine.join(texts.select("doc_id", "h", F.octet_length("text").alias("size")), "doc_id"), n, mine.count()):
+            if r["size"] <= left:
+                left -= r["size"]
+                picked.append((r["doc_id"], r["h"], y))
+    few = spark.createDataFrame(picked, "doc_id long, h long, y int")
+    texts = texts.filter(F.col("doc_id").isin(sorted({r[0] for r in picked}))) if picked else texts.limit(0)
+    return texts.join(F.broadcast(few), ["doc_id", "h"]).dropDuplicates(["doc_id", "y"]).select("doc_id", "text", "y")  # at most 2n triples of numbers
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
