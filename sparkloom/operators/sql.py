@@ -1,6 +1,7 @@
 """SQL front end over version tables. Spark parses and plans SELECT and all expressions; only statements that Parquet lacks are read here.
 
-One Connection is one session: BEGIN, COMMIT, ROLLBACK, else each statement commits by itself. Its Spark
+PRIMARY KEY makes a column NOT NULL; neither it nor UNIQUE forbids equal values, and an index is a record in
+the catalogue: scans are pruned by Parquet statistics. One Connection is one session: BEGIN, COMMIT, ROLLBACK, else each statement commits by itself. Its Spark
 session has ANSI off so that x/0 is NULL; values that a column cannot hold raise on INSERT and UPDATE all the same.
 """
 
@@ -129,9 +130,9 @@ class Connection:
             t = tx.table(table)
             if missing := set(columns) - {c for c, _, _ in t["columns"]}:
                 raise ValueError(f"no column {missing}")
-            if p[0] in t.get("indexes", {}):
+            if t.get("indexes", {}).get(T.name(p[0])):
                 raise ValueError(f"index {p[0]} exists")
-            tx.alter(table, indexes=t.get("indexes", {}) | {T.name(p[0]): {"columns": columns, "unique": unique}})
+            tx.alter(table, indexes={T.name(p[0]): {"columns": columns, "unique": unique}})
             return Done(f"index {p[0]} created")
         if kind != "TABLE" or unique:
             raise ValueError(f"cannot CREATE {kind}")
@@ -146,7 +147,20 @@ class Connection:
         tx.create(T.name(p[0]), columns)
         return Done(f"table {p[0]} created")
 
+    def _drop_index(self, tx: Transaction, p: list[str]) -> Done:
+        quiet = [w.upper() for w in p[:2]] == ["IF", "EXISTS"]
+        index = T.name(p[2] if quiet else p[0])
+        for table, t in tx.view()["tables"].items():
+            if t.get("indexes", {}).get(index):
+                tx.alter(table, indexes={index: None})
+                return Done(f"index {index} dropped")
+        if quiet:
+            return Done("no such index")
+        raise ValueError(f"no index {index}")
+
     def _drop(self, tx: Transaction, p: list[str]) -> Done:
+        if p[0].upper() == "INDEX":
+            return self._drop_index(tx, p[1:])
         if p[0].upper() != "TABLE":
             raise ValueError(f"cannot DROP {p[0]}")
         if quiet := [w.upper() for w in p[1:3]] == ["IF", "EXISTS"]:

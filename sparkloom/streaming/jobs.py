@@ -29,8 +29,7 @@ def replay_into(stream: DataFrame, store: Store, table: str, checkpoint: str) ->
         if t.get("stream", {}).get(checkpoint, -1) >= batch_id:
             return
         tx.append(table, batch, update=True)
-        t = tx.view()["tables"][table]
-        tx.tables[table] = t | {"stream": t.get("stream", {}) | {checkpoint: batch_id}, "plain": False}
+        tx.alter(table, stream={checkpoint: batch_id}, plain=False)
         tx.commit()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,11 +1,14 @@
 """SQL and wide-column front ends over version tables."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.functions import text as T
 from sparkloom.operators.cql import Keyspaces
 from sparkloom.operators.sql import Database
-from sparkloom.sources.versions import Conflict
+from sparkloom.sources.versions import Conflict, Store
 
 
 def rows(df):
@@ -14,77 +17,191 @@ def rows(df):
 
 @pytest.fixture
 def db(spark):
+    """Parcels on their way: many missing values, equal names, a text of each boolean."""
     d = Database(spark)
-    d.execute("CREATE TABLE employees (id INT PRIMARY KEY, name VARCHAR(20) NOT NULL, dept_id INT, salary FLOAT, active BOOL, joined TIMESTAMP)")
-    d.execute("INSERT INTO employees VALUES (1, 'Alice', 1, 95000.0, TRUE, '2020-01-15 09:00:00'), (2, 'Bo''b', 2, 72000, 'yes', '2019-06-01T09:00:00'), (3, 'Charlie', 1, 88000.5, FALSE, NULL)")
+    d.execute("CREATE TABLE parcels (code INT PRIMARY KEY, label VARCHAR(40) NOT NULL, depot INT, kilos FLOAT, fragile BOOL, due TIMESTAMP)")
+    d.execute("INSERT INTO parcels VALUES (11, 'vase', 7, 2.25, TRUE, '2023-03-04 05:06:07'), (12, 'rug''s end', 8, 31, 'no', NULL), (13, 'vase', NULL, 0.5, 'YES', '2023-03-05T00:00:00'), (14, 'crate', 7, NULL, NULL, NULL)")
     return d
 
 
 def test_dml(db):
-    assert rows(db.execute("SELECT id, name, salary, active FROM employees ORDER BY id")) == [(1, "Alice", 95000.0, True), (2, "Bo'b", 72000.0, True), (3, "Charlie", 88000.5, False)]
-    assert db.execute("UPDATE employees SET salary = salary * 2, dept_id = 9 WHERE id = 1").rows == 1
-    assert db.execute("DELETE FROM employees WHERE active = FALSE").rows == 1
-    assert db.execute("INSERT INTO employees (id, name) VALUES (10, 'NoSalary')").rows == 1
-    assert rows(db.execute("SELECT id, dept_id, salary FROM employees e ORDER BY id")) == [(1, 9, 190000.0), (2, 2, 72000.0), (10, None, None)]
-    db.store.compact("employees")
-    assert rows(db.execute("SELECT COUNT(*), COUNT(salary), 1 / 0 FROM employees")) == [(3, 2, None)]
-    assert db.execute("DELETE FROM employees").rows == 3
-    assert rows(db.execute("SELECT * FROM employees")) == []
+    assert rows(db.execute("SELECT code, label, kilos, fragile FROM parcels ORDER BY code")) == [(11, "vase", 2.25, True), (12, "rug's end", 31.0, False), (13, "vase", 0.5, True), (14, "crate", None, None)]
+    assert db.execute("UPDATE parcels SET kilos = kilos + depot, depot = NULL WHERE depot = 7").rows == 2
+    assert db.execute("DELETE FROM parcels WHERE fragile = FALSE").rows == 1
+    assert db.execute("INSERT INTO parcels (label, code) VALUES ('late', 20), ('later', 21)").rows == 2
+    assert rows(db.execute("SELECT code, depot, kilos FROM parcels p ORDER BY code")) == [(11, None, 9.25), (13, None, 0.5), (14, None, None), (20, None, None), (21, None, None)]
+    db.store.compact("parcels")
+    assert rows(db.execute("SELECT COUNT(*), COUNT(kilos), COUNT(DISTINCT label), 7 / 0 FROM parcels")) == [(5, 2, 4, None)]
+    assert db.execute("DELETE FROM parcels").rows == 5
+    assert rows(db.execute("SELECT * FROM parcels")) == []
 
 
 def test_values_that_do_not_fit(db):
-    for bad in ["INSERT INTO employees (id, name) VALUES ('x', 'n')", "INSERT INTO employees (id) VALUES (5)", "INSERT INTO employees (nope) VALUES (5)", "UPDATE employees SET name = NULL"]:
+    for bad in ["INSERT INTO parcels (code, label) VALUES ('x', 'n')", "INSERT INTO parcels (code) VALUES (5)", "INSERT INTO parcels (nope) VALUES (5)", "UPDATE parcels SET label = NULL"]:
         with pytest.raises(Exception):
             db.execute(bad)
-    assert rows(db.execute("SELECT COUNT(*) FROM employees")) == [(3,)]
+    assert rows(db.execute("SELECT COUNT(*) FROM parcels")) == [(4,)]
 
 
 def test_backslashes_are_plain(db):
-    db.execute(r"INSERT INTO employees (id, name) VALUES (20, 'a\nb''c')")
-    assert rows(db.execute(r"SELECT name, 'x\t' FROM employees WHERE name = 'a\nb''c'")) == [(r"a\nb'c", r"x\t")]
+    db.execute(r"INSERT INTO parcels (code, label) VALUES (20, 'a\nb''c')")
+    assert rows(db.execute(r"SELECT label, 'x\t' FROM parcels WHERE label = 'a\nb''c'")) == [(r"a\nb'c", r"x\t")]
 
 
 def test_transactions(db):
     a, b = db.connect(), db.connect()
     a.execute("BEGIN")
-    a.execute("INSERT INTO employees (id, name) VALUES (99, 'Ghost')")
-    assert rows(a.execute("SELECT COUNT(*) FROM employees")) == [(4,)]
-    assert rows(b.execute("SELECT COUNT(*) FROM employees")) == [(3,)]
+    a.execute("INSERT INTO parcels (code, label) VALUES (50, 'unseen')")
+    assert rows(a.execute("SELECT COUNT(*) FROM parcels")) == [(5,)]
+    assert rows(b.execute("SELECT COUNT(*) FROM parcels")) == [(4,)]
     a.execute("ROLLBACK")
-    assert rows(a.execute("SELECT COUNT(*) FROM employees")) == [(3,)]
+    assert rows(a.execute("SELECT COUNT(*) FROM parcels")) == [(4,)]
     a.execute("BEGIN")
     b.execute("BEGIN")
-    a.execute("UPDATE employees SET salary = 1 WHERE id = 1")
-    b.execute("UPDATE employees SET salary = 2 WHERE id = 1")
+    a.execute("UPDATE parcels SET kilos = 1 WHERE code = 13")
+    b.execute("UPDATE parcels SET kilos = 2 WHERE label = 'vase'")
     a.execute("COMMIT")
     with pytest.raises(Conflict):
         b.execute("COMMIT")
-    assert rows(b.execute("SELECT salary FROM employees WHERE id = 1")) == [(1.0,)]
+    assert rows(b.execute("SELECT kilos FROM parcels WHERE code = 13")) == [(1.0,)]
+    a.execute("BEGIN")
+    a.execute("UPDATE parcels SET kilos = 5 WHERE code = 11")
+    b.execute("UPDATE parcels SET kilos = 7 WHERE code = 12")
+    a.execute("COMMIT")
+    assert rows(b.execute("SELECT kilos FROM parcels WHERE code < 13 ORDER BY code")) == [(5.0,), (7.0,)]
+
+
+def test_definitions_do_not_undo_rows_of_others(db):
+    a, b = db.connect(), db.connect()
     a.execute("BEGIN")
-    a.execute("UPDATE employees SET salary = 5 WHERE id = 1")
-    b.execute("UPDATE employees SET salary = 7 WHERE id = 2")
+    a.execute("CREATE INDEX by_depot ON parcels (depot)")
+    b.execute("INSERT INTO parcels (code, label) VALUES (60, 'between')")
     a.execute("COMMIT")
-    assert rows(b.execute("SELECT salary FROM employees WHERE id < 3 ORDER BY id")) == [(5.0,), (7.0,)]
+    assert rows(a.execute("SELECT COUNT(*) FROM parcels")) == [(5,)]
+    tx = db.store.begin()
+    tx.truncate("parcels")
+    b.execute("INSERT INTO parcels (code, label) VALUES (61, 'after')")
+    tx.commit()
+    assert rows(b.execute("SELECT code FROM parcels")) == [(61,)]
+    a.execute("BEGIN")
+    a.execute("INSERT INTO parcels (code, label) VALUES (62, 'lost')")
+    b.execute("DROP TABLE parcels")
+    b.execute("CREATE TABLE parcels (code INT, label TEXT)")
+    with pytest.raises(Conflict):
+        a.execute("COMMIT")
+    assert rows(b.execute("SELECT * FROM parcels")) == []
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_interleaved_sessions_are_a_serial_fold(spark, seed):
+    """Two sessions insert, update, empty, alter and compact in random order, held against a plain model."""
+    r = random.Random(seed)
+    store = Store(spark)
+    tx = store.begin()
+    tx.create("t", [("id", "bigint", True), ("v", "bigint", False)])
+    tx.commit()
+    there, version, epoch, emptied = {}, {}, 0, 0  # committed values, the commit that wrote each, commits so far, the last that emptied the table
+    open_ = {}
+
+    def visible(own):
+        return ({k: v for k, v in there.items() if k not in own["gone"]} | own["rows"]) if own else dict(there)
+
+    for step in range(26):
+        who = r.choice("ab")
+        if who not in open_:
+            open_[who] = (Store(spark, store.path).begin(), {"rows": {}, "gone": set(), "cut": False, "read": {}, "at": []})
+        tx, own = open_[who]
+        act = r.choice(["insert", "insert", "update", "alter", "truncate", "compact", "commit", "commit", "rollback"])
+        if act == "insert":
+            tx.append("t", spark.createDataFrame([(step, step)], "id bigint, v bigint"))
+            own["rows"][step] = step
+        elif act == "update" and visible(own):
+            k = r.choice(sorted(visible(own)))
+            old = tx.read("t", hidden=True).where(f"id = {k}")
+            tx.append("t", old.withColumn("v", F.lit(1000 + step).cast("bigint")), update=True)
+            if k not in own["rows"]:
+                own["read"][k] = version[k]
+            own["at"].append(epoch)
+            own["rows"][k] = 1000 + step
+        elif act == "alter":
+            tx.alter("t", indexes={f"i{step}": {"columns": ["v"], "unique": False}})
+        elif act == "truncate":
+            tx.truncate("t")
+            own.update(gone=own["gone"] | set(there), cut=True, rows={}, read={}, at=[])
+        elif act == "compact":
+            store.compact("t")
+            epoch += 1
+        elif act == "rollback":
+            tx.rollback()
+            del open_[who]
+        elif act == "commit":
+            del open_[who]
+            must = any(version.get(k) != v for k, v in own["read"].items()) or any(at < emptied for at in own["at"])
+            try:
+                tx.commit()
+            except Conflict:
+                assert epoch > min(own["at"], default=epoch) or own["cut"]
+                tx.rollback()
+            else:
+                assert not must
+                if own["rows"] or own["cut"]:
+                    epoch += 1
+                    emptied = epoch if own["cut"] else emptied
+                    there = visible(own)
+                    version = {k: epoch if k in own["rows"] else version[k] for k in there}
+        for name, (tx, own) in [*open_.items()]:
+            try:
+                assert dict(rows(tx.read("t"))) == visible(own), (step, act)
+            except Conflict:  # what it emptied was rewritten by another: it cannot go on
+                assert own["cut"]
+                tx.rollback()
+                del open_[name]
+        assert dict(rows(store.begin().read("t"))) == there, (step, act)
+
+
+def test_sequence_grows_over_all_stores_of_a_path(spark):
+    one = Store(spark)
+    two = Store(spark, one.path)
+    got = [s.next_seq(0) for _ in range(1500) for s in (one, two)]
+    assert all(x < y for x, y in zip(got, got[1:])) and two.next_seq(10**19) > 10**19
+
+
+def test_many_statements_leave_few_folders(spark):
+    store = Store(spark)
+    tx = store.begin()
+    tx.create("t", [("id", "bigint", True), ("v", "bigint", False)], key=["id"])
+    tx.commit()
+    held = None
+    for i in range(36):
+        tx = store.begin()
+        tx.append("t", spark.createDataFrame([(i % 5, i)], "id bigint, v bigint"), update=True)
+        tx.commit()
+        held = held or store.begin().read("t")
+    assert dict(rows(store.begin().read("t"))) == {k: max(i for i in range(36) if i % 5 == k) for k in range(5)}
+    assert len(store.state()["tables"]["t"]["dirs"]) < 16 and store._fs.listStatus(store._at("_commits")).__len__() <= 40
+    assert held.count() == 1  # a reader of folders that were merged since
 
 
 def test_ddl_and_reopening(spark, db):
-    db.execute("CREATE UNIQUE INDEX by_name ON employees (name)")
-    assert rows(db.execute("SHOW TABLES")) == [("employees",)]
-    assert rows(db.execute("DESCRIBE employees"))[0] == ("id", "bigint", False)
-    assert rows(Database(spark, db.store.path).execute("SELECT COUNT(*) FROM employees")) == [(3,)]
-    db.execute("CREATE TABLE copies (id INT, n INT)")
-    db.execute("INSERT INTO copies SELECT dept_id, COUNT(*) FROM employees GROUP BY dept_id")
-    assert rows(db.execute("SELECT e.name, c.n FROM employees e JOIN copies c ON c.id = e.dept_id WHERE n = 1")) == [("Bo'b", 1)]
-    db.execute("DROP TABLE copies")
-    assert db.execute("DROP TABLE IF EXISTS copies").message == "no such table"
-    for bad in ["DROP TABLE copies", "CREATE TABLE employees (x INT)", "VACUUM", "CREATE TABLE t (x JSON)", "SELECT 'open"]:
+    db.execute("CREATE UNIQUE INDEX by_label ON parcels (label)")
+    assert rows(db.execute("SHOW TABLES")) == [("parcels",)]
+    assert rows(db.execute("DESCRIBE parcels"))[0] == ("code", "bigint", False)
+    assert rows(Database(spark, db.store.path).execute("SELECT COUNT(*) FROM parcels")) == [(4,)]
+    assert db.execute("DROP INDEX by_label").message == "index by_label dropped" and db.execute("DROP INDEX IF EXISTS by_label").message == "no such index"
+    db.execute("CREATE INDEX by_label ON parcels (label)")
+    db.execute("CREATE TABLE counts (depot INT, n INT)")
+    db.execute("INSERT INTO counts SELECT depot, COUNT(*) FROM parcels GROUP BY depot")
+    assert rows(db.execute("SELECT p.label, c.n FROM parcels p JOIN counts c ON c.depot = p.depot WHERE n = 1")) == [("rug's end", 1)]
+    db.execute("DROP TABLE counts")
+    assert db.execute("DROP TABLE IF EXISTS counts").message == "no such table"
+    for bad in ["DROP TABLE counts", "DROP INDEX nope", "CREATE TABLE parcels (x INT)", "VACUUM", "CREATE TABLE t (x JSON)", "SELECT 'open"]:
         with pytest.raises(Exception):
             db.execute(bad)
 
 
 def test_insert_only_tables_are_scanned_plainly(db):
-    plan = db.execute("SELECT name FROM employees WHERE id = 2")._jdf.queryExecution().executedPlan().toString()
-    assert "Aggregate" not in plan and "EqualTo(id,2)" in plan and "ReadSchema: struct<id:bigint,name:string>" in plan
+    plan = db.execute("SELECT label FROM parcels WHERE code = 12")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "EqualTo(code,12)" in plan and "ReadSchema: struct<code:bigint,label:string>" in plan
 
 
 def test_wide_columns(spark):
