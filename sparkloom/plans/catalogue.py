@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import keyvalue, mutations, relational, widecolumn
+from . import commands, keyvalue, mutations, relational, widecolumn
 
 _SQL = relational.QUERIES | widecolumn.QUERIES | keyvalue.QUERIES
 
@@ -45,8 +45,8 @@ def now(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _runner(tables, sql) for name, (tables, sql, _) in _SQL.items() if sql}
-    return out | {"describe_table": describe_table, "spop": spop, "now": now} | mutations.QUERIES
+    return out | {"describe_table": describe_table, "spop": spop, "now": now} | mutations.QUERIES | commands.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck or sql for name, (_, sql, duck) in _SQL.items()} | mutations.ORACLE_SQL
+    return {name: duck or sql for name, (_, sql, duck) in _SQL.items()} | mutations.ORACLE_SQL | commands.ORACLE_SQL
