@@ -38,7 +38,8 @@ from .kernel import LOWER, U64, blocks, column, inside, mix, per_text, window_ha
 
 HASHES, BANDS, ROWS, BITS = 128, 25, 5, 8
 LEAST = 0.66
-PART, PART_BYTES = 1024, 32 << 20
+PART, PART_BYTES = 4096, 32 << 20
+HOT = 500
 BLOOM = 1 << 26  # bits at most: beyond it, documents are picked by a join on doc_id
 
 _rng = np.random.default_rng(20)
@@ -271,7 +272,11 @@ def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFr
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough."""
     sets = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), classes, docs, k)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
+    # a bucket's first row is in a pair with each other: its set goes to as many places as it has HOT pairs
+    hot = common.materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("copies")).filter("copies > 1"), "hot")
+    pairs = pairs.join(hot, "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int"))
+    firsts = sets.withColumnRenamed("id", "a").join(hot, "a", "left").select("a", F.col("members").alias("x"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    both = pairs.join(firsts, ["a", "copy"]).join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     return common.materialize(both.select("a", "b", "x", "y").mapInArrow(common.freeing(_confirmer(num, den)), "a long, b long"), "confirmed")
 
 
