@@ -6,7 +6,7 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import fresh_path, materialize, scope, shared_dir  # noqa: F401
@@ -39,6 +39,11 @@ def freeing(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     return run
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), value being evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

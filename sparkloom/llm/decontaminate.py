@@ -12,9 +12,11 @@ Runs of all diagonals are put together, largest first, as long as their values a
 contaminated by an item when these cover at least COVER of the item's tokens, or when a consistent stretch
 has at least LONG tokens.
 
-Plan: one pass over the documents. Their windows are exploded with nothing but doc_id, position, hash and
-the few placeholders' values, and meet the benchmark's windows in a hash join: those are broadcast when
-there are at most BROADCAST of them (counted first) and shuffled otherwise.
+Plan: one pass over the documents. Only windows all of whose template tokens the benchmark has, too, are hashed
+and exploded (with a benchmark of more than VOCABULARY such tokens: all windows), with nothing but doc_id,
+position, hash and the few placeholders' values. They meet the benchmark's windows in a hash join:
+those are broadcast when they are at most BROADCAST with at most BROADCAST_BYTES of values (measured first)
+and shuffled otherwise.
 
 Cases: null and empty texts match nothing, nor do items without tokens; repeated documents and items give
 one row for each doc_id and item_id; rows with a null id on either side are left out; extra columns are
@@ -26,8 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 WINDOW, COVER, LONG = 8, 0.5, 13
-BROADCAST = 200_000  # windows: under 20 MB
+BROADCAST, BROADCAST_BYTES = 200_000, 16 << 20  # windows, and bytes of their placeholders' values
+VOCABULARY = 50_000  # different template tokens of the benchmark: with more, all windows are hashed
 #: Units that count as placeholders after a number.
 UNITS = (
     "kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches l ml liter liters litre litres "
@@ -75,24 +80,46 @@ def _templates(rows: DataFrame) -> DataFrame:
     return got.withColumn("slotted", F.arrays_overlap("tmpl", F.array(*mark.values())))
 
 
-def _windows(rows: DataFrame, key: str, k: int) -> DataFrame:
-    """key, n, size, pos, hash and slots (values at placeholders, in order; null if there are none) of each window of k tokens, those with names in both forms."""
+def _vocabulary(items: DataFrame) -> str | None:
+    """The hashes of all template tokens of items, as a list in SQL; None if there are more than VOCABULARY of them."""
+    tokens = items.select(F.explode(F.concat("tmpl", F.coalesce("folded", F.expr("cast(array() as array<bigint>)")))).alias("h")).distinct()
+    found = sorted(r.h for r in tokens.limit(VOCABULARY + 1).collect())
+    return ", ".join(f"{h}L" if h > -(1 << 63) else "(-9223372036854775807L - 1L)" for h in found) or "0L" if len(found) <= VOCABULARY else None
+
+
+def _starts(tokens: str, k: int, vocabulary: str) -> Column:
+    """Positions in an array of hashes from which on k are in the vocabulary: between the ends and those that are not."""
+    # of each token its position, or null if it is known (a hash set is asked); the ends are unknown
+    odd = F.expr(f"filter(transform({tokens}, (h, i) -> if(h IN ({vocabulary}), null, i)), i -> i IS NOT NULL)")
+    gaps = let(F.concat(F.array(F.lit(-1)), odd, F.array(F.size(tokens))), lambda v: F.zip_with(F.slice(v, 1, F.size(v) - 1), F.slice(v, 2, F.size(v) - 1), lambda a, b: F.struct((a + 1).alias("from"), (b - k).alias("to"))))
+    return F.flatten(F.transform(F.filter(gaps, lambda g: g["from"] <= g["to"]), lambda g: F.sequence(g["from"], g["to"])))
+
+
+def _windows(rows: DataFrame, key: str, sizes: list[int], vocabulary: str | None = None) -> DataFrame:
+    """key, n, size, pos, hash and slots (values at placeholders, in order; null if there are none) of each window of as many tokens as sizes say
+    (with a vocabulary: of its tokens alone), those with names in both forms. One pass: rows are not filtered by their tokens, which would be made twice."""
     mark = {c: F.xxhash64(F.lit(c)) for c in (_NUMBER, _UNIT, _NAME)}
 
-    def slots(tokens: str, i: Column) -> Column:
+    def slots(tokens: str, i: Column, k: int) -> Column:
         pairs = F.arrays_zip(F.slice(tokens, i + 1, k).alias("t"), F.slice("own", i + 1, k).alias("w"))
         return F.filter(pairs, lambda x: x["t"].isin(*mark.values()))
 
-    def window(i: Column, tokens: str, values: Column) -> Column:
-        return F.struct(i.alias("pos"), F.xxhash64(F.slice(tokens, i + 1, k), F.lit(k)).alias("hash"), values.alias("slots"))
+    def window(i: Column, tokens: str, k: int, values: Column) -> Column:
+        return F.struct(F.lit(k).alias("size"), i.alias("pos"), F.xxhash64(F.slice(tokens, i + 1, k), F.lit(k)).alias("hash"), values.alias("slots"))
+
+    def at(tokens: str, k: int) -> Column:
+        if vocabulary:
+            return _starts(tokens, k, vocabulary)
+        return F.when(F.col("n") >= k, F.sequence(F.lit(0), F.col("n") - k)).otherwise(F.expr("cast(array() as array<int>)"))
+
+    def made(k: int) -> Column:
+        own = F.transform(at("tmpl", k), lambda i: window(i, "tmpl", k, F.when(F.col("slotted"), F.transform(slots("tmpl", i, k), lambda x: x["w"]))))
+        named = F.filter(at("folded", k), lambda i: F.array_contains(F.slice("tmpl", i + 1, k), mark[_NAME]))
+        plain = F.transform(named, lambda i: window(i, "folded", k, F.transform(slots("folded", i, k), lambda x: F.translate(x["w"], _NAME, ""))))
+        return F.when(F.col("folded").isNull(), own).otherwise(F.concat(own, plain))
 
-    at = F.sequence(F.lit(0), F.col("n") - k)
-    made = F.transform(at, lambda i: window(i, "tmpl", F.when(F.col("slotted"), F.transform(slots("tmpl", i), lambda x: x["w"]))))
-    named = F.filter(at, lambda i: F.array_contains(F.slice("tmpl", i + 1, k), mark[_NAME]))
-    plain = F.transform(named, lambda i: window(i, "folded", F.transform(slots("folded", i), lambda x: F.translate(x["w"], _NAME, ""))))
-    made = F.when(F.col("folded").isNull(), made).otherwise(F.concat(made, plain))
-    got = rows.filter(F.col("n") >= k).select(key, "n", F.lit(k).alias("size"), F.explode(made).alias("x"))
-    return got.select(key, "n", "size", F.col("x.pos").alias("pos"), F.col("x.hash").alias("hash"), F.when(F.size("x.slots") > 0, F.col("x.slots")).alias("slots"))
+    got = rows.select(key, "n", F.explode(F.concat(*map(made, sizes))).alias("x"))
+    return got.select(key, "n", F.col("x.size").alias("size"), F.col("x.pos").alias("pos"), F.col("x.hash").alias("hash"), F.when(F.size("x.slots") > 0, F.col("x.slots")).alias("slots"))
 
 
 def _agree(values: Column) -> Column:
@@ -133,14 +160,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     items = _templates(_tokens(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id IS NOT NULL")))
     short = sorted(r[0] for r in items.filter((F.col("n") > 0) & (F.col("n") < window)).select("n").distinct().collect())  # at most window - 1 numbers
     rows = _templates(_tokens(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")))
-    bench = _windows(items, "item_id", window)
-    spots = _windows(rows, "doc_id", window)
+    bench = _windows(items, "item_id", [window])
     for k in short:
-        bench = bench.unionByName(_windows(items.filter(F.col("n") == k), "item_id", k))
-        spots = spots.unionByName(_windows(rows, "doc_id", k))
+        bench = bench.unionByName(_windows(items.filter(F.col("n") == k), "item_id", [k]))
+    spots = _windows(rows, "doc_id", [window, *short], _vocabulary(items))
     bench = bench.select("hash", "size", "item_id", F.col("pos").alias("ipos"), F.col("n").alias("n_item"), F.col("slots").alias("item_slots")).dropDuplicates(["item_id", "hash", "size", "ipos"])
-    if bench.count() <= BROADCAST:
-        bench = F.broadcast(bench)  # counted above
+    size = bench.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(F.array_join("item_slots", ""))), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= BROADCAST and size["bytes"] <= BROADCAST_BYTES:
+        bench = F.broadcast(bench)  # measured above
 
     runs = _runs(spots.drop("n").join(bench, ["hash", "size"]))
     n_run = F.size(_positions(F.col("spans")))
@@ -160,7 +187,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, c
     found = F.struct(
         F.col("u.doc_start").alias("doc_start"), F.array_min(F.transform("u.spans", lambda x: x["from"])).alias("item_start"), F.size(_positions(F.col("u.spans"))).cast("long").alias("n_windows"), "coverage", F.forall("u.values", lambda x: x["iv"] == x["v"]).alias("verbatim")
     )
-    best = pairs.groupBy("doc_id", "item_id").agg(F.max_by(found, F.struct("coverage", -F.col("u.doc_start"))).alias("b"))
+    best = pairs.groupBy("doc_id", "item_id").agg(F.max_by(found, F.struct("coverage", -F.col("u.doc_start"), "size", found)).alias("b"))
     return best.select("doc_id", "item_id", "b.*")
 
 

@@ -10,7 +10,7 @@ already covers the stretch.
 
 Time is linear in the text, also for one string of 10**6 characters or 10**5 matches in a text: candidates
 and running sums go by blocks, because an array or a string grows by copying; nothing is evaluated again
-for each element (`_let` binds it); patterns have no group under a quantifier that can recurse.
+for each element (`let` binds it); patterns have no group under a quantifier that can recurse.
 
 Cases: a null or empty text has no span; documents are kept once per row, repeated rows too; other
 columns are kept, whatever their names (but one named as the result is replaced); texts of any length are scanned whole;
@@ -25,6 +25,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""((?i)password|passwd|secret|token|api_?key(?-i))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_HINT = r"(?i)passw|secret|token|api_?key"
@@ -61,11 +63,6 @@ def _none(kind: str) -> Column:
     return F.expr(f"cast(array() as {kind})")
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), value being evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
     """Running totals of an array of whole numbers >= 0 under op (a sum or a maximum), in linear time: by blocks."""
     zero = F.struct(F.lit(0).alias("at"), _none("array<int>").alias("out"))
@@ -81,9 +78,9 @@ def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
         return F.transform(blocks, lambda x: F.aggregate(x, zero, grow, lambda acc: acc["out"]))
 
     def whole(p: Column) -> Column:
-        return _let(F.aggregate(p, zero, shift, lambda acc: acc["out"]), lambda before: F.flatten(F.transform(p, lambda x, i: F.transform(x, lambda y: op(F.get(before, i), y)))))
+        return let(F.aggregate(p, zero, shift, lambda acc: acc["out"]), lambda before: F.flatten(F.transform(p, lambda x, i: F.transform(x, lambda y: op(F.get(before, i), y)))))
 
-    return _let(values, lambda v: F.when(F.size(v) > 0, _let(parts(v), whole)).otherwise(_none("array<int>")))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(parts(v), whole)).otherwise(_none("array<int>")))
 
 
 def _sum(a: Column, b: Column) -> Column:
@@ -99,7 +96,7 @@ def _positions(text: Column, pattern: str) -> Column:
         ends = _running(F.transform(x, lambda y: F.char_length(y["piece"]) + F.coalesce(F.char_length(y["match"]), F.lit(0))), _sum)
         return F.zip_with(x, ends, lambda y, end: F.struct(y["match"].alias("text"), (end - F.char_length(y["match"])).alias("start"), end.alias("end")))
 
-    return F.filter(_let(both, placed), lambda y: y["text"].isNotNull())
+    return F.filter(let(both, placed), lambda y: y["text"].isNotNull())
 
 
 def _spans(found: Column, kind: int) -> Column:
@@ -144,10 +141,10 @@ def _windows(s: Column) -> Column:
 
             return F.aggregate(F.transform(a, x), zero, move(most_), lambda acc: acc["out"])
 
-        return _let(chars, moves)
+        return let(chars, moves)
 
     pieces = F.regexp_extract_all(s, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
-    return _let(most, lambda m: _let(pieces, lambda p: F.array_join(F.transform(p, lambda x, i: scan(x, F.get(p, i - 1), m)), "")))
+    return let(most, lambda m: let(pieces, lambda p: F.array_join(F.transform(p, lambda x, i: scan(x, F.get(p, i - 1), m)), "")))
 
 
 def _cell(c: Column, name: str) -> list[Column]:
@@ -180,7 +177,7 @@ def _uncovered(spans: Column) -> Column:
         reach = _running(F.transform(s, lambda x: F.when(x["kind"] < 3, -x["less"]).otherwise(0)), F.greatest)
         return F.filter(F.zip_with(s, reach, lambda x, r: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), (-x["less"]).alias("end"), r.alias("reach"))), lambda x: (x["kind"] < 3) | (x["reach"] < x["end"]))
 
-    return F.transform(F.array_sort(_let(order, kept)), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+    return F.transform(F.array_sort(let(order, kept)), lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
 
 
 def find_secrets(docs: DataFrame, name: str = "spans") -> DataFrame:
@@ -196,7 +193,7 @@ def find_secrets(docs: DataFrame, name: str = "spans") -> DataFrame:
         F.when(text.rlike(HEX), _spans(_positions(text, HEX), 2)).otherwise(none),
         F.when(text.rlike(CANDIDATE), hot).otherwise(none),
     )
-    return docs.withColumn(name, _let(spans, lambda s: F.when(F.size(s) > 0, _uncovered(s)).otherwise(none)))
+    return docs.withColumn(name, let(spans, lambda s: F.when(F.size(s) > 0, _uncovered(s)).otherwise(none)))
 
 
 def listed(spans: Column) -> Column:
@@ -221,15 +218,15 @@ def _redacted(text: Column, spans: Column) -> Column:
             stops = F.filter(F.transform(reach, lambda r, i: F.when(F.coalesce(F.get(s, i + 1)["start"] >= r, F.lit(True)), r)), lambda x: x.isNotNull())
             return F.arrays_zip(starts.alias("start"), stops.alias("end"))
 
-        return _let(_running(F.transform(s, lambda x: x["end"]), F.greatest), ends)
+        return let(_running(F.transform(s, lambda x: x["end"]), F.greatest), ends)
 
     def built(groups: Column) -> Column:
         n = F.char_length(text)
         cuts = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
         before = lambda c, i: F.coalesce(F.get(groups, i - 1)["end"], F.lit(0))
-        return _let(cuts, lambda c: F.concat(F.array_join(F.transform(groups, lambda g, i: F.concat(between(c, before(c, i), g["start"]), F.lit("[secret]"))), ""), between(c, F.element_at(groups, -1)["end"], n)))
+        return let(cuts, lambda c: F.concat(F.array_join(F.transform(groups, lambda g, i: F.concat(between(c, before(c, i), g["start"]), F.lit("[secret]"))), ""), between(c, F.element_at(groups, -1)["end"], n)))
 
-    return _let(_let(spans, grouped), built)
+    return let(let(spans, grouped), built)
 
 
 def redact(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import random
 import re
 from collections import Counter
 
+import regex
+
 LONG = "zeta " * 30000
 
 
@@ -128,3 +130,79 @@ def redacted(text, spans):
             out, at = out + text[at:a] + "[secret]", b
         at = max(at, b)
     return out + text[at:]
+
+
+UNITS = set("kg g mg lb lbs oz km m cm mm mi mile miles ft feet inch inches l ml liter liters litre litres h hr hrs hour hours min mins minute minutes s sec secs second seconds day days week weeks month months year years percent dollar dollars euro euros cent cents usd eur kwh w kw v hz kmh mph".split())
+
+
+def template_tokens(text):
+    """(word, kind) of each token: kind is N number, U unit after a number, P name inside a sentence, or empty."""
+    text = regex.sub("[\x01-\x04]", " ", text or "")
+    text = regex.sub(r"\p{Lu}(?<=[\p{Ll}\p{Nd},;:]\s\p{Lu})\p{Ll}+", "\x03\\g<0>", text)
+    text = regex.sub(r"[.,:](?<=\p{Nd}[.,:])(?=\p{Nd})", "\x04", text)
+    text = regex.sub(r"\p{Nd}(?=\p{L})", r"\g<0> ", text)
+    out = []
+    for w in filter(None, regex.split("[^\\p{L}\\p{N}\x03\x04]+", text.lower())):
+        kind = "N" if "0" <= w < ":" else "P" if w.startswith("\x03") else "U" if w in UNITS and out and out[-1][1] == "N" else ""
+        out.append((w, kind))
+    return out
+
+
+def template_windows(tokens, k):
+    """(start, template, values at placeholders) of each window, those with names also with them as words."""
+    plain = [(w.replace("\x03", ""), "" if kind == "P" else kind) for w, kind in tokens]
+    plain = [(w, "U" if not kind and w in UNITS and i and tokens[i - 1][1] == "N" else kind) for i, (w, kind) in enumerate(plain)]
+    for form in (tokens, plain):
+        for i in range(len(tokens) - k + 1):
+            part = form[i : i + k]
+            if form is tokens or any(kind == "P" for _, kind in tokens[i : i + k]):
+                yield i, tuple(("slot", kind) if kind else w for w, kind in part), [w for w, kind in part if kind]
+
+
+def contamination(rows, items, window=8, cover=0.5, least=13):
+    """{(doc_id, item_id): (doc_start, item_start, n_windows, coverage, verbatim)}: every window of every document against every window of every item."""
+    agree = lambda values: len({a for a, _ in values}) == len(values)
+    where = lambda spans, more=0: {p for a, b in spans for p in range(a, b + more + 1)}
+    out = {}
+    for doc, text in {*rows}:
+        tokens = template_tokens(text)
+        for item, question in {*items}:
+            own = template_tokens(question)
+            n = len(own)
+            k = min(window, n)
+            if not n:
+                continue
+            diagonals = {}
+            for i, t, slots in template_windows(tokens, k):
+                for j, u, values in template_windows(own, k):
+                    if t == u:
+                        diagonals.setdefault(i - j, set()).add((j, tuple(zip(values, slots, strict=True))))
+            runs, longest = {}, 0
+            for d, spots in diagonals.items():
+                at = sorted({j for j, _ in spots})
+                spans = []
+                for j in at:
+                    if spans and spans[-1][1] == j - 1:
+                        spans[-1] = (spans[-1][0], j)
+                    else:
+                        spans.append((j, j))
+                for some in [spans] if agree({p for _, v in spots for p in v}) else [[s] for s in spans]:
+                    values = {p for j, v in spots if some[0][0] <= j <= some[-1][1] for p in v}
+                    if agree(values):
+                        key = tuple(some), tuple(sorted(values))
+                        runs[key] = min(some[0][0] + d, runs.get(key, 1 << 30))
+                        longest = max(longest, *(b - a + k for a, b in some))
+            order = sorted((-len(where(s)), start, s, v) for (s, v), start in runs.items())
+            if not order:
+                continue
+            _, start, spans, values = order[0]
+            spans, values = set(spans), set(values)
+            for _, other, s, v in order[1:]:
+                if agree(values | set(v)):
+                    start, spans, values = min(start, other), spans | set(s), values | set(v)
+            coverage = len(where(spans, k - 1)) / n
+            if coverage >= cover or longest >= least:
+                found = (start, min(a for a, _ in spans), len(where(spans)), coverage, all(a == b for a, b in values))
+                if (doc, item) not in out or (coverage, -start) > (out[doc, item][3], -out[doc, item][0]):
+                    out[doc, item] = found
+    return out

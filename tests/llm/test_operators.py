@@ -4,6 +4,7 @@ import random
 import sys
 import time
 import zlib
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -242,6 +243,38 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.contamination(empty, bench).count() == 0 and decontaminate.contamination(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("vocabulary", [50_000, 3])
+def test_decontamination_is_that_of_all_windows(spark, monkeypatch, vocabulary):
+    """Items put into texts, with words inserted, deleted and substituted, numbers and names changed, in other case."""
+    monkeypatch.setattr(decontaminate, "VOCABULARY", vocabulary)
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefg") for _ in range(r.randint(2, 6))) for _ in range(80)]
+    names, units = ["Lisbon", "Oslo", "New York", "Élan"], ["km", "hours", "kg", "dollars"]
+    thing = lambda: r.choice([*[r.choice(words)] * 9, f"{r.randrange(4)} {r.choice(units)}", f"{r.randrange(3)}.{r.randrange(3)}", r.choice(names), f"{r.randrange(90)}km"])
+    items = [(i, " ".join(thing() for _ in range(r.choice([2, 4, 7, 8, 11, 18, 30, 50])))) for i in range(24)] + [(90, None), (91, " ,"), (3, "other text of the same item")]
+    items += [(i + 50, t) for i, t in items[:4]]
+    rows = []
+    for d in range(70):
+        parts = []
+        for _ in range(r.randint(0, 3)):
+            own = (r.choice(items)[1] or "").split()
+            for _ in range(r.choice([0, 0, 1, 2, 4])):
+                at = r.randint(0, len(own))
+                own[at : at + r.randint(0, 1)] = [thing()] * r.randint(0, 2)
+            if r.random() < 0.3:
+                own = [w if not w[0].isdigit() else str(int(w[0]) + 1) + w[1:] for w in own]
+            own = own[r.choice([0, 0, 0, 5]) :]
+            parts.append(" ".join(own).lower() if r.random() < 0.3 else " ".join(own))
+        rows.append((d % 60, " ".join(f"{thing()} {thing()} {p} {thing()}." for p in parts)))
+    rows += [(200, None), (201, ""), (202, " ".join(t or "" for _, t in items) * 3)]
+    got = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute.contamination(rows, items)
+    found = {(x.doc_id, x.item_id): (x.doc_start, x.item_start, x.n_windows, x.coverage, x.verbatim) for x in got.collect()}
+    assert set(found) == set(want) and len(want) > 60
+    several = {d for d, n in Counter(d for d, _ in rows).items() if n > 1} | {i for i, n in Counter(i for i, _ in items).items() if n > 1}
+    assert {k: v for k, v in found.items() if not several & {*k}} == {k: v for k, v in want.items() if not several & {*k}}
+
+
 def test_slots_must_agree(spark):
     q = "add 3 apples to 3 pears and share 3 plums among 3 friends of the house"
     good, bad = q.replace("3", "8"), "add 8 apples to 7 pears and share 6 plums among 5 friends of the house"
