@@ -17,9 +17,10 @@ ORACLE_SQL = None  # classifiers, sketches and a tokenizer are beyond SQL; tests
 
 
 def run(spark, sf_dir: str) -> DataFrame:
+    """The packed pieces. Each stage's result is written, and what it needed for that goes; the last one is lazy."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = common.materialize(docs, f"stage-{name}")
-    return docs
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        with common.scope() as keep:
+            docs = keep(common.materialize(stage(spark, docs, sf_dir), f"stage-{name}"))

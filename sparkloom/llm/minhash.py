@@ -222,6 +222,7 @@ def _setter(k: int, shared):
     """Digests and sorted sets of the documents that the filter (if there is one) passes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[bytes] = set()  # equal sets of a task are given once
         for batch in batches:
             if shared is not None:
                 bloom, slot = shared.value, column(batch, "slot").to_numpy(zero_copy_only=False)
@@ -229,7 +230,8 @@ def _setter(k: int, shared):
             for lo, hi, data, offsets in blocks(column(batch, "text"), 1 << 18):
                 got, base = shingles(data, offsets, k)
                 sets = [np.unique(got[base[i] : base[i + 1]]) for i in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(u) for u in sets], pa.binary()), pa.array([u.astype("<u8").tobytes() for u in sets], pa.binary())], names=["digest", "members"])
+                new = [(d, u.astype("<u8").tobytes()) for u in sets if (d := _digest(u)) not in told and not told.add(d)]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in new], pa.binary()), pa.array([u for _, u in new], pa.binary())], names=["digest", "members"])
 
     return make
 
@@ -266,7 +268,9 @@ def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFr
     else:
         rows, shared = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), None
     made = common.materialize(rows.mapInArrow(common.freeing(_setter(k, shared)), "digest binary, members binary"), "sets")
-    return made.join(wanted.select("id", "digest"), "digest").select("id", "members").dropDuplicates(["id"])
+    out = made.join(wanted.select("id", "digest"), "digest").select("id", "members")
+    n = made.agg(F.count(F.lit(1)).alias("all"), F.count_distinct("digest").alias("each")).first()
+    return out if n["all"] == n["each"] else out.dropDuplicates(["id"])  # the sets are shuffled for that only if rows repeat
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -346,3 +350,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), shingle=4)
+
+
+#: All pairs of documents that share a shingle, counted, and what is reachable over links: for small tables.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) < 4 THEN [array_to_string(w, ' ')][1:least(len(w), 1)] ELSE [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] END) AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(s) AS x FROM s),
+k AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM k JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+r(id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT b, c FROM r JOIN sides ON id = a)
+SELECT doc_id, n AS n_shingles, min(c) AS component_id, doc_id = min(c) AS kept FROM n JOIN r ON id = doc_id GROUP BY doc_id, n
+"""

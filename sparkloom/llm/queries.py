@@ -5,11 +5,11 @@ from __future__ import annotations
 from .decontaminate import op4_decontamination
 from .fingerprint import op6_fingerprints
 from .langid import op2_language_id
-from .minhash import op3_minhash
+from .minhash import OP3_SQL, op3_minhash
 from .packing import op9_packing
 from .quality import op5_quality
 from .secrets import op8_secrets
-from .substrings import op10_substrings
+from .substrings import OP10_SQL, op10_substrings
 from .toxicity import op7_toxicity
 from .warc import OP1_SQL, op1_warc
 
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_substrings": op10_substrings,
 }
-ORACLE_SQL = {"op1_warc": OP1_SQL}
+ORACLE_SQL = {"op1_warc": OP1_SQL, "op3_minhash": OP3_SQL, "op10_substrings": OP10_SQL}

@@ -164,19 +164,22 @@ def contamination(rows, items, window=8, cover=0.5, least=13):
     agree = lambda values: len({a for a, _ in values}) == len(values)
     where = lambda spans, more=0: {p for a, b in spans for p in range(a, b + more + 1)}
     out = {}
+    sought = []
+    for item, question in {*items}:
+        own = template_tokens(question)
+        if own:
+            spots = {}
+            for j, u, values in template_windows(own, min(window, len(own))):
+                spots.setdefault(u, []).append((j, values))
+            sought.append((item, len(own), min(window, len(own)), spots))
     for doc, text in {*rows}:
         tokens = template_tokens(text)
-        for item, question in {*items}:
-            own = template_tokens(question)
-            n = len(own)
-            k = min(window, n)
-            if not n:
-                continue
+        mine = {k: [*template_windows(tokens, k)] for k in {k for _, _, k, _ in sought}}
+        for item, n, k, there in sought:
             diagonals = {}
-            for i, t, slots in template_windows(tokens, k):
-                for j, u, values in template_windows(own, k):
-                    if t == u:
-                        diagonals.setdefault(i - j, set()).add((j, tuple(zip(values, slots, strict=True))))
+            for i, t, slots in mine[k]:
+                for j, values in there.get(t, ()):
+                    diagonals.setdefault(i - j, set()).add((j, tuple(zip(values, slots, strict=True))))
             runs, longest = {}, 0
             for d, spots in diagonals.items():
                 at = sorted({j for j, _ in spots})

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -14,8 +15,9 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from sparkloom.llm import decontaminate, fingerprint, langid, minhash, packing, quality, secrets, substrings, toxicity, warc  # noqa: E402
+from sparkloom.llm import decontaminate, fingerprint, langid, minhash, packing, quality, secrets, stages, substrings, toxicity, warc  # noqa: E402
 from sparkloom.llm.components import components  # noqa: E402
+from sparkloom.llm.queries import ORACLE_SQL, QUERIES  # noqa: E402
 
 ROWS = brute.corpus()
 
@@ -340,9 +342,54 @@ def test_toxicity_learns_from_4000_rows_of_each_class(spark):
     assert toxicity.labelled_sample(docs, labels, "toxic", toxicity.SAMPLE).count() == 7200
 
 
+SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_rows_as_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
+    want = con.execute(ORACLE_SQL[name])
+    names = [d[0] for d in want.description]
+    assert sorted(tuple(map(str, r)) for r in QUERIES[name](spark, SMALL).select(names).collect()) == sorted(tuple(map(str, r)) for r in want.fetchall())
+
+
 def test_pipeline(spark):
+    """Against its stages in plain Python; the toxicity model's scores alone are the operator's own."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    left = {r.doc_id for r in out.select("doc_id").distinct().collect()}
-    assert left <= {r.doc_id for r in docs.select("doc_id").collect()} and len(left) > 0.7 * docs.count()
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    model = toxicity.fit(docs, labels.filter(~toxicity.held_out("doc_id", 5, 0)))
+    toxic = {r.doc_id for r in toxicity.predict(docs, model).filter("score >= 0.5").collect()}
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id not in toxic]
+    kept = {d for d, _, _, k in brute.near_duplicates(rows, 5) if k}
+    rows = [r for r in rows if r[0] in kept]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    found = {d for d, _ in brute.contamination(rows, items)}
+    rows = [(d, t and brute.redacted(t, sorted(brute.base_spans(t) + brute.entropy_spans(t)))) for d, t in rows if d not in found]
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for d, text in rows:
+        ids, at = [*t.encode(text or "", add_special_tokens=False).ids, 1], 0
+        for n in packing.pieces(len(ids)):
+            want.append((d, at, n, np.array(ids[at : at + n], "<u4").tobytes()))
+            at += n
+    out = corpus_pipeline.run(spark, SMALL).collect()
+    assert sorted((r.doc_id, r.start, r.length, bytes(r.ids)) for r in out) == sorted(want)
+    assert found and len(kept) < docs.count() and len(rows) > 100
+
+
+def test_stages_keep_rows_and_columns(spark, docs, empty):
+    for stage in (stages.drop_toxic, stages.drop_near_duplicates, stages.drop_contaminated, stages.redact_secrets):
+        odd = docs.withColumn("kept", F.lit(7)).withColumn("Found", F.lit("y")).union(docs.limit(3).selectExpr("CAST(NULL AS BIGINT)", "CAST(NULL AS STRING)", "spans", "score", "key", "8", "'z'"))
+        out = stage(spark, odd, SMALL)
+        assert out.columns == odd.columns and dict(out.dtypes) == dict(odd.dtypes)
+        got, want = {r.doc_id: (r.spans, r.score, r.key, r.kept, r.Found) for r in out.collect()}, {r.doc_id: (r.spans, r.score, r.key, r.kept, r.Found) for r in odd.collect()}
+        assert got.items() <= want.items() and {None, 1000, 1001, 1002, 1003, 1006} <= set(got)
+        assert stage(spark, odd.union(odd), SMALL).count() == 2 * out.count()
+        assert stage(spark, empty, SMALL).count() == 0 and stage(spark, empty, SMALL).columns == empty.columns
+    assert stages.pack_sequences(spark, empty, SMALL).count() == 0
