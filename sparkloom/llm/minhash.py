@@ -219,10 +219,10 @@ def _digest(u: np.ndarray) -> bytes:
 
 
 def _setter(k: int, shared):
-    """Digests and sorted sets of the documents that the filter (if there is one) passes."""
+    """doc_id, digest and sorted set of the documents that the filter (if there is one) passes."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        told: set[bytes] = set()  # equal sets of a task are given once
+        told: set[tuple] = set()  # equal rows of a task are given once
         for batch in batches:
             if shared is not None:
                 bloom, slot = shared.value, column(batch, "slot").to_numpy(zero_copy_only=False)
@@ -230,8 +230,10 @@ def _setter(k: int, shared):
             for lo, hi, data, offsets in blocks(column(batch, "text"), 1 << 18):
                 got, base = shingles(data, offsets, k)
                 sets = [np.unique(got[base[i] : base[i + 1]]) for i in range(hi - lo)]
-                new = [(d, u.astype("<u8").tobytes()) for u in sets if (d := _digest(u)) not in told and not told.add(d)]
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in new], pa.binary()), pa.array([u for _, u in new], pa.binary())], names=["digest", "members"])
+                ids = column(batch, "doc_id").slice(lo, hi - lo).to_pylist()
+                new = [(*key, u.astype("<u8").tobytes()) for i, u in zip(ids, sets, strict=True) if (key := (i, _digest(u))) not in told and not told.add(key)]
+                if new:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*new, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["rep", "digest", "members"])
 
     return make
 
@@ -267,9 +269,9 @@ def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFr
         rows, shared = docs.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(bits))).filter("slot IS NOT NULL"), spark.sparkContext.broadcast(bloom)
     else:
         rows, shared = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), None
-    made = common.materialize(rows.mapInArrow(common.freeing(_setter(k, shared)), "digest binary, members binary"), "sets")
-    out = made.join(wanted.select("id", "digest"), "digest").select("id", "members")
-    n = made.agg(F.count(F.lit(1)).alias("all"), F.count_distinct("digest").alias("each")).first()
+    made = common.materialize(rows.mapInArrow(common.freeing(_setter(k, shared)), "rep long, digest binary, members binary"), "sets")
+    out = made.join(wanted, ["rep", "digest"]).select("id", "members")
+    n = out.agg(F.count(F.lit(1)).alias("all"), F.count_distinct("id").alias("each")).first()
     return out if n["all"] == n["each"] else out.dropDuplicates(["id"])  # the sets are shuffled for that only if rows repeat
 
 
