@@ -5,8 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..operators.ring import owners
 from . import commands, keyvalue, mutations, relational, widecolumn
 
 _SQL = relational.QUERIES | widecolumn.QUERIES | keyvalue.QUERIES
@@ -31,12 +31,14 @@ def describe_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, role.get(c, "regular")) for c in spark.read.parquet(f"{sf_dir}/events.parquet").columns], "col string, role string")
 
 
-def spop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three random members of each supplier's set, the same for the same seed."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("m")).distinct()
-    from pyspark.sql import Window
+def ring_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The owner of each customer on a ring of all nations."""
+    return owners(spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS node"), spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS key"))
 
-    return rows.withColumn("r", F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("m", F.lit(42)), "m"))).filter("r <= 3").select("k", "m")
+
+def ring_after_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with two nodes stopped."""
+    return owners(spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS node").where("node NOT IN (3, 7)"), spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS key"))
 
 
 def now(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +47,7 @@ def now(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _runner(tables, sql) for name, (tables, sql, _) in _SQL.items() if sql}
-    return out | {"describe_table": describe_table, "spop": spop, "now": now} | mutations.QUERIES | commands.QUERIES
+    return out | {f.__name__: f for f in (describe_table, ring_distribution, ring_after_stop, now)} | mutations.QUERIES | commands.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

@@ -54,11 +54,23 @@ def own_writes_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.execute(count.format("mine")).unionAll(other.execute(count.format("other")))
 
 
+def index_then_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one session inserts while another, in a transaction, makes an index and drops it again, stays."""
+    db = _customers(spark, sf_dir)
+    mine, other = db.connect(), db.connect()
+    mine.execute("BEGIN")
+    mine.execute("CREATE INDEX by_nation ON customers (c_nationkey)")
+    other.execute("INSERT INTO customers SELECT -c_custkey, c_name, c_nationkey, c_acctbal FROM customers WHERE c_custkey % 3 = 0")
+    mine.execute("COMMIT")
+    mine.execute("DROP INDEX by_nation")
+    return db.execute(_ALL)
+
+
 def catalog_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = Keyspaces(spark)
-    for s in ("CREATE KEYSPACE shop WITH replication = {'class': 'SimpleStrategy', 'replication_factor': 3}", "USE shop", "CREATE TABLE readings (sensor TEXT, day INT, at TIMESTAMP, v DOUBLE, unit TEXT STATIC, PRIMARY KEY ((sensor, day), at))"):
+    for s in ("CREATE KEYSPACE tides WITH replication = {'class': 'NetworkTopologyStrategy', 'replication_factor': 2}", "USE tides", "CREATE TABLE levels (harbour TEXT, month INT, moment TIMESTAMP, metres DOUBLE, datum TEXT STATIC, PRIMARY KEY ((harbour, month), moment))"):
         k.execute(s)
-    return k.execute("DESCRIBE TABLE readings")
+    return k.execute("DESCRIBE TABLE levels")
 
 
 def upsert_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +99,7 @@ _AOF = f"""WITH log AS ({_LOG.format(s="VARCHAR")}), h AS (SELECT * FROM log WHE
     SELECT key, 'hash' AS type, field, value FROM (SELECT h.* FROM h LEFT JOIN cut USING (key) WHERE ended IS NULL OR seq > ended QUALIFY row_number() OVER (PARTITION BY key, field ORDER BY seq DESC) = 1) l WHERE op = 'HSET'
     UNION ALL SELECT key, 'string', '', CAST(SUM(CASE WHEN op = 'INCRBY' AND (ended IS NULL OR seq > ended) THEN CAST(value AS BIGINT) ELSE 0 END) + COALESCE(MAX(CAST(v AS BIGINT)), 0) AS VARCHAR) FROM n LEFT JOIN base USING (key) GROUP BY key"""
 
-QUERIES = {f.__name__: f for f in (insert_values, update_expr, delete_where, rollback_invisible, own_writes_visible, catalog_describe, upsert_partition, aof_replay)}
+QUERIES = {f.__name__: f for f in (insert_values, update_expr, delete_where, rollback_invisible, own_writes_visible, index_then_insert, catalog_describe, upsert_partition, aof_replay)}
 _C = "SELECT c_custkey, c_name, c_nationkey, c_acctbal FROM customer"
 ORACLE_SQL = {
     "insert_values": f"{_C} UNION ALL SELECT -1, 'it''s', NULL, 1.5 UNION ALL SELECT -2, 'X', NULL, 6.0",
@@ -95,7 +107,8 @@ ORACLE_SQL = {
     "delete_where": f"{_C} WHERE NOT (c_acctbal < 1000 OR c_nationkey IN (2, 4))",
     "rollback_invisible": _C,
     "own_writes_visible": "SELECT 'mine' AS reader, c_nationkey = 1 AS changed, COUNT(*) AS n FROM customer WHERE c_nationkey <= 3 GROUP BY c_nationkey = 1 UNION ALL SELECT 'other', FALSE, COUNT(*) FROM customer",
-    "catalog_describe": "SELECT * FROM (VALUES ('sensor', 'string', 'partition', FALSE), ('day', 'bigint', 'partition', FALSE), ('at', 'timestamp_ntz', 'clustering', FALSE), ('v', 'double', 'regular', FALSE), ('unit', 'string', 'regular', TRUE)) v(col, type, role, static)",
+    "index_then_insert": f"{_C} UNION ALL SELECT -c_custkey, c_name, c_nationkey, c_acctbal FROM customer WHERE c_custkey % 3 = 0",
+    "catalog_describe": "SELECT * FROM (VALUES ('harbour', 'string', 'partition', FALSE), ('month', 'bigint', 'partition', FALSE), ('moment', 'timestamp_ntz', 'clustering', FALSE), ('metres', 'double', 'regular', FALSE), ('datum', 'string', 'regular', TRUE)) v(col, type, role, static)",
     "upsert_partition": "SELECT user_id, event_id, event_type, CASE WHEN user_id = 5 THEN -1.0 ELSE value END AS value FROM events WHERE user_id <> 3 UNION ALL SELECT 3, 1, NULL, 0.5",
     "aof_replay": _AOF,
 }

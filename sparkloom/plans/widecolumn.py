@@ -10,7 +10,13 @@ _NOW = "TIMESTAMP '2024-06-01 00:00:00'"
 _V = "(SELECT user_id, event_type, value, ts AS _ts, event_id AS _seq, event_id % 7 = 0 AS _tombstone FROM events) v"
 _LWW = f"SELECT user_id, event_type, max_by(value, struct(_ts, _seq)) AS value, max_by(_tombstone, struct(_ts, _seq)) AS dead FROM {_V} GROUP BY user_id, event_type"
 _LWW_DUCK = f"SELECT user_id, event_type, value, _tombstone AS dead FROM {_V} QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY _ts DESC, _seq DESC) = 1"
-_RING = "(SELECT n.n_nationkey AS node, md5(concat(CAST(n.n_nationkey AS {s}), '#', CAST(v.vnode AS {s}))) AS h FROM nation n CROSS JOIN ({v}) v WHERE n.n_nationkey < 5)"
+
+
+def _ring(alive: str) -> str:
+    """Each key against each token, for the SQL that the ring's plan is held against."""
+    tokens = f"(SELECT n_nationkey AS node, md5(CAST(n_nationkey AS VARCHAR) || ':vn' || CAST(v.range AS VARCHAR)) AS h FROM nation CROSS JOIN range(150) v WHERE {alive})"
+    return f"SELECT k.key, COALESCE(arg_min(r.node, r.h) FILTER (WHERE r.h > k.hk), arg_min(r.node, r.h)) AS node FROM (SELECT c_custkey AS key, md5(CAST(c_custkey AS VARCHAR)) AS hk FROM customer) k CROSS JOIN {tokens} r GROUP BY k.key, k.hk"
+
 
 QUERIES: dict[str, tuple[str, str, str | None]] = {
     "partition_scan": ("events", "SELECT user_id, ts, event_type, value FROM events WHERE user_id = 7", None),
@@ -26,7 +32,8 @@ QUERIES: dict[str, tuple[str, str, str | None]] = {
     "cql_filter": ("events", "SELECT ts, value FROM events WHERE user_id = 5 AND value > 20 ORDER BY ts LIMIT 50", None),
     "upsert_replace": ("events", f"SELECT user_id, event_type, CASE WHEN dead THEN -1.0 ELSE value END AS value FROM ({_LWW}) t", f"SELECT user_id, event_type, CASE WHEN dead THEN -1.0 ELSE value END AS value FROM ({_LWW_DUCK}) t"),
     "heartbeat_status": ("events", "SELECT user_id AS node, CASE WHEN unix_timestamp(m) - unix_timestamp(seen) > 86400 * 8 THEN 'DOWN' WHEN unix_timestamp(m) - unix_timestamp(seen) > 86400 * 3 THEN 'SUSPECT' ELSE 'UP' END AS status FROM (SELECT user_id, CAST(MAX(ts) AS TIMESTAMP) AS seen FROM events GROUP BY user_id) e CROSS JOIN (SELECT CAST(MAX(ts) AS TIMESTAMP) AS m FROM events) l", "SELECT user_id AS node, CASE WHEN date_diff('second', date_trunc('second', seen), date_trunc('second', m)) > 86400 * 8 THEN 'DOWN' WHEN date_diff('second', date_trunc('second', seen), date_trunc('second', m)) > 86400 * 3 THEN 'SUSPECT' ELSE 'UP' END AS status FROM (SELECT user_id, MAX(ts) AS seen FROM events GROUP BY user_id) e CROSS JOIN (SELECT MAX(ts) AS m FROM events) l"),
-    "ring_distribution": ("nation customer", "SELECT k.c_custkey, COALESCE(min_by(r.node, r.h) FILTER (WHERE r.h > k.hk), min_by(r.node, r.h)) AS node FROM (SELECT c_custkey, md5(CAST(c_custkey AS STRING)) AS hk FROM customer) k CROSS JOIN " + _RING.format(s="STRING", v="SELECT id AS vnode FROM range(20)") + " r GROUP BY k.c_custkey, k.hk", "SELECT k.c_custkey, COALESCE(arg_min(r.node, r.h) FILTER (WHERE r.h > k.hk), arg_min(r.node, r.h)) AS node FROM (SELECT c_custkey, md5(CAST(c_custkey AS VARCHAR)) AS hk FROM customer) k CROSS JOIN " + _RING.format(s="VARCHAR", v="SELECT range AS vnode FROM range(20)") + " r GROUP BY k.c_custkey, k.hk"),
+    "ring_distribution": ("nation customer", None, _ring("TRUE")),
+    "ring_after_stop": ("nation customer", None, _ring("n_nationkey NOT IN (3, 7)")),
     "quorum_available": ("nation", "SELECT n_regionkey AS shard, COUNT(*) AS replicas, SUM(CASE WHEN n_nationkey % 3 > 0 THEN 1 ELSE 0 END) >= CAST(FLOOR(COUNT(*) / 2) AS BIGINT) + 1 AS quorum, MIN(n_nationkey % 3) > 0 AS all_up FROM nation GROUP BY n_regionkey", None),
     "describe_table": ("events", None, "SELECT column_name AS col, CASE column_name WHEN 'user_id' THEN 'partition' WHEN 'ts' THEN 'clustering' ELSE 'regular' END AS role FROM information_schema.columns WHERE table_name = 'events'"),
 }

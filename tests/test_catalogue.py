@@ -1,5 +1,6 @@
 """Every catalogue query against DuckDB on the smallest tables."""
 
+import hashlib
 import math
 
 import duckdb
@@ -48,3 +49,59 @@ def test_filters_reach_the_scan(spark):
     plan = catalogue.queries()["index_lookup"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_orderkey), GreaterThanOrEqual(o_orderkey,100)" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan
+
+
+@pytest.mark.parametrize("name", ["zpopmin", "zpopmax", "zrange", "zrevrange", "spop"])
+def test_ranks_are_cut_before_the_shuffle(spark, name):
+    assert "WindowGroupLimit" in catalogue.queries()[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ring_of_nodes_that_come_and_go(spark):
+    from sparkloom.operators.ring import Ring
+
+    keys = spark.range(400).selectExpr("concat('key', id) AS key").union(spark.sql("SELECT 'key1' UNION ALL SELECT NULL"))
+    ring = Ring(spark, ["a", "b", "c"], vnodes=40)
+    of = lambda: {r.key: r.node for r in ring.owners(keys).collect()}
+    tokens = sorted((hashlib.md5(f"{n}:vn{i}".encode()).hexdigest(), n) for n in "abc" for i in range(40))
+    before = of()
+    assert before == {k: next((n for h, n in tokens if h > hashlib.md5(k.encode()).hexdigest()), tokens[0][1]) for k in before} and len(before) == 400
+    ring.stop("b")
+    after = of()
+    assert all(after[k] == n for k, n in before.items() if n != "b") and "b" not in after.values()
+    ring.start("b")
+    ring.add("d")
+    grown = of()
+    assert all(grown[k] in (n, "d") for k, n in before.items()) and "d" in grown.values()
+    ring.remove("d")
+    assert of() == before
+    with pytest.raises(ValueError):
+        ring.add("a")
+    with pytest.raises(KeyError):
+        ring.stop("x")
+
+
+def test_storage_without_a_named_folder(spark):
+    from sparkloom.sources import storage
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf, self.sparkContext = conf, spark.sparkContext
+
+    assert storage.shared_dir(Session(**{"spark.checkpoint.dir": "s3a://bucket/x/"})) == "s3a://bucket/x"
+    assert storage.shared_dir(Session(**{"spark.master": "local[2]"})).startswith("file:///")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session(**{"spark.master": "yarn"}))
+
+
+def test_scopes_remove_what_they_do_not_keep(spark):
+    from sparkloom.sources.storage import materialize, scope
+
+    with scope() as keep:
+        gone, kept = materialize(spark.range(3), "gone"), keep(materialize(spark.range(4), "kept"))
+        with scope() as inner:
+            deep = inner(materialize(spark.range(5), "deep"))
+        assert deep.count() == 5
+    assert kept.count() == 4
+    for df in (gone, deep):
+        with pytest.raises(Exception):
+            df.count()

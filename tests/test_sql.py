@@ -205,31 +205,35 @@ def test_insert_only_tables_are_scanned_plainly(db):
 
 
 def test_wide_columns(spark):
+    """Water levels of harbours: replaced rows, late writes, columns and ranges deleted, a time to live."""
     t = [1000.0]
     k = Keyspaces(spark, clock=lambda: t[0])
-    k.execute("CREATE KEYSPACE shop WITH replication = {'class': 'SimpleStrategy', 'replication_factor': 3}")
-    k.execute("USE shop")
-    k.execute("CREATE TABLE readings (sensor TEXT, at BIGINT, v DOUBLE, note TEXT, PRIMARY KEY ((sensor), at))")
-    for at in (3, 1, 2):
-        k.execute(f"INSERT INTO readings (sensor, at, v, note) VALUES ('s1', {at}, {at}.5, 'n')")
-    k.execute("INSERT INTO shop.readings (sensor, at, v) VALUES ('s2', 1, 7) USING TTL 60")
-    k.execute("INSERT INTO readings (sensor, at, v) VALUES ('s1', 3, 9)")
-    assert rows(k.execute("SELECT at, v, note FROM readings WHERE sensor = 's1' AND at >= 2")) == [(2, 2.5, "n"), (3, 9.0, None)]
-    assert rows(k.execute("SELECT at FROM readings WHERE sensor = 's1' ORDER BY at DESC LIMIT 2")) == [(3,), (2,)]
-    assert rows(k.execute("SELECT COUNT(*) FROM readings WHERE v > 5 ALLOW FILTERING")) == [(2,)]
-    t[0] += 61
-    assert rows(k.execute("SELECT COUNT(*) FROM readings WHERE sensor = 's2'")) == [(0,)]
-    k.execute("UPDATE readings SET v = 0 WHERE sensor = 's1' AND at = 1")
-    k.execute("UPDATE readings SET v = 4 WHERE sensor = 's9' AND at = 1")
-    k.execute("DELETE note FROM readings WHERE sensor = 's1' AND at = 2")
-    k.execute("DELETE FROM readings WHERE sensor = 's1' AND at > 2")
-    k.execute("UPDATE readings USING TIMESTAMP 5 SET v = 100 WHERE sensor = 's1' AND at = 1")
-    assert sorted(rows(k.execute("SELECT sensor, at, v, note FROM readings"))) == [("s1", 1, 0.0, "n"), ("s1", 2, 2.5, None), ("s9", 1, 4.0, None)]
-    assert rows(k.execute("DESCRIBE TABLE readings"))[:2] == [("sensor", "string", "partition", False), ("at", "bigint", "clustering", False)]
-    assert rows(k.execute("DESCRIBE KEYSPACE shop")) == [("shop", "SimpleStrategy", 3)]
-    k.execute("TRUNCATE readings")
-    assert rows(k.execute("SELECT * FROM readings")) == []
-    k.execute("DROP KEYSPACE shop")
+    k.execute("CREATE KEYSPACE tides WITH replication = {'class': 'NetworkTopologyStrategy', 'replication_factor': 2}")
+    k.execute("USE tides")
+    k.execute("CREATE TABLE levels (harbour TEXT, minute BIGINT, metres DOUBLE, seen TEXT, PRIMARY KEY ((harbour), minute))")
+    for minute in (30, 10, 20, 40):
+        k.execute(f"INSERT INTO levels (harbour, minute, metres, seen) VALUES ('Whitby', {minute}, {minute}.25, 'gauge')")
+    k.execute("INSERT INTO tides.levels (harbour, minute, metres) VALUES ('Brest', 5, -1) USING TTL 90")
+    k.execute("INSERT INTO levels (harbour, minute, metres) VALUES ('Whitby', 30, 0.5)")
+    assert rows(k.execute("SELECT minute, metres, seen FROM levels WHERE harbour = 'Whitby' AND minute >= 20 AND minute < 40")) == [(20, 20.25, "gauge"), (30, 0.5, None)]
+    assert rows(k.execute("SELECT minute FROM levels WHERE harbour = 'Whitby' ORDER BY minute DESC LIMIT 3")) == [(40,), (30,), (20,)]
+    assert rows(k.execute("SELECT COUNT(*) FROM levels WHERE metres < 1 ALLOW FILTERING")) == [(2,)]
+    for bad in ("SELECT * FROM levels WHERE metres < 1", "SELECT * FROM levels WHERE harbour > 'A'", "UPDATE levels SET metres = 1 WHERE minute = 5", "DELETE FROM levels WHERE minute = 5"):
+        with pytest.raises(ValueError, match="partition key"):
+            k.execute(bad)
+    t[0] += 91
+    assert rows(k.execute("SELECT COUNT(*) FROM levels WHERE harbour IN ('Brest', 'Kiel')")) == [(0,)]
+    k.execute("UPDATE levels SET metres = metres * 2, seen = 'eye' WHERE harbour = 'Whitby' AND minute = 10")
+    k.execute("UPDATE levels SET metres = 3 WHERE harbour = 'Kiel' AND minute = 1")
+    k.execute("DELETE seen FROM levels WHERE harbour = 'Whitby' AND minute = 20")
+    k.execute("DELETE FROM levels WHERE harbour = 'Whitby' AND minute > 25")
+    k.execute("UPDATE levels USING TIMESTAMP 7 SET metres = 100 WHERE harbour = 'Whitby' AND minute = 20")
+    assert sorted(rows(k.execute("SELECT harbour, minute, metres, seen FROM levels"))) == [("Kiel", 1, 3.0, None), ("Whitby", 10, 20.5, "eye"), ("Whitby", 20, 20.25, None)]
+    assert rows(k.execute("DESCRIBE TABLE levels"))[:2] == [("harbour", "string", "partition", False), ("minute", "bigint", "clustering", False)]
+    assert rows(k.execute("DESCRIBE KEYSPACE tides")) == [("tides", "NetworkTopologyStrategy", 2)]
+    k.execute("TRUNCATE levels")
+    assert rows(k.execute("SELECT * FROM levels")) == []
+    k.execute("DROP KEYSPACE tides")
     assert rows(k.execute("DESCRIBE KEYSPACES")) == []
 
 
