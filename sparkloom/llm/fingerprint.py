@@ -9,17 +9,21 @@ larger, until it does not. With d digests recovered of n1 + n2, likeness is (n1
 the Jaccard similarity of the two sets.
 
 Order and neighbours: documents are dealt by ranges of doc_id and sorted there; the first of each range
-also goes to the end of the range before. Nothing but range borders reaches the driver.
+also goes to the end of the range before. A doc_id (or null) with the rows of several ranges has borders
+inside, by a hash of the text and, for equal rows, a number of their own. Only borders and the first keys of
+ranges reach the driver, a few for each partition.
 
 Cases: a null or empty text has no pieces (likeness 1 to another such, 0 to others); null doc_ids come
-last; rows with the same doc_id are ordered by text and are each other's next; a single row is its own
-next; extra columns are ignored; an empty table gives an empty result.
+last; rows with the same doc_id are each other's next, ordered by text (those of an id with the rows of several
+ranges by a hash of it); a single row is its own next; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +35,7 @@ from . import common
 from .kernel import U64, blocks, column, mix, runs, word_hashes
 
 PIECE = 64
+RANGES = 4  # for each partition
 LAST = (1 << 63) - 1  # the key of a null doc_id
 _CELL = np.dtype([("count", "u1"), ("key", "<u8"), ("check", "<u4")])
 _STOP = np.zeros(256, bool)
@@ -177,14 +182,36 @@ def edited(text: str, after: str) -> str:
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def _deal(borders: np.ndarray, firsts: dict[int, int], before: dict[int, int]):
+_POINT = np.dtype([("h", "<i8"), ("salt", "<i8")])
+
+
+class Borders:
+    """Where ranges of (key, h, salt) begin: at these keys, and inside hot keys at points (h, salt)."""
+
+    def __init__(self, keys: list[int], inner: dict[int, list[tuple[int, int]]]) -> None:
+        self.inner = {k: np.array(sorted(p), _POINT) for k, p in inner.items()}
+        self.keys = np.sort(np.array([*keys, *(k for k, p in inner.items() for _ in p)], np.int64))
+
+    def place(self, key: np.ndarray, h: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """The range of each row: how many begin at it or before."""
+        part = np.searchsorted(self.keys, key, "right")
+        for k, points in self.inner.items():
+            at = np.flatnonzero(key == k)
+            if len(at):
+                own = np.empty(len(at), _POINT)
+                own["h"], own["salt"] = h[at], salt[at]
+                part[at] -= len(points) - np.searchsorted(points, own, "right")
+        return part
+
+
+def _deal(borders: Borders, firsts: dict[int, tuple], before: dict[int, int]):
     """Adds the range of each row; the first row of a range goes to the range before as well."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key = column(batch, "key").to_numpy(zero_copy_only=False)
-            part = np.searchsorted(borders, key, "right")
-            ghost = np.array([i for i, (p, k) in enumerate(zip(part.tolist(), key.tolist(), strict=True)) if firsts.get(p) == k], np.int64)
+            key, h, salt = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("key", "h", "salt"))
+            part = borders.place(key, h, salt)
+            ghost = np.array([i for i, (p, *point) in enumerate(zip(part.tolist(), key.tolist(), h.tolist(), salt.tolist(), strict=True)) if firsts.get(p) == tuple(point)], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(np.zeros(len(part), bool)), *batch.columns], names=["part", "ghost", *batch.schema.names])
             if len(ghost):
                 copy = batch.take(pa.array(ghost))
@@ -225,28 +252,44 @@ def next_to_each(docs: DataFrame) -> DataFrame:
     (the last range: by the first row of all) as a ghost."""
     spark = docs.sparkSession
     common.tune(spark)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     n = common.partitions(spark)
-    cuts = rows.select("key").approxQuantile("key", [i / (4 * n) for i in range(1, 4 * n)], 1 / (16 * n))
-    borders = sorted({int(x) for x in cuts})
-    if borders:
-        shared = spark.sparkContext.broadcast(np.array(borders, np.int64))  # 4 numbers for each partition
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                key = column(batch, "key").to_numpy(zero_copy_only=False)
-                part = np.searchsorted(shared.value, key, "right")
-                for p in np.unique(part):
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([key[part == p].min()], pa.int64())], names=["part", "first"])
-
-        found = rows.select("key").mapInArrow(common.freeing(place), "part int, first long").groupBy("part").agg(F.min("first").alias("first")).collect()
-    else:
-        found = rows.agg(F.lit(0).alias("part"), F.min("key").alias("first")).filter("first IS NOT NULL").collect()
-    firsts = {r["part"]: r["first"] for r in found}
+    ranges = RANGES * n
+    share = min(1.0, 16 * ranges / max(1, rows.select("key").count()))
+    some = sorted(r["key"] for r in rows.select("key").sample(share, 5).collect())  # some 16 for each range
+    cuts = Counter(some[len(some) * i // ranges] for i in range(1, ranges)) if some else Counter()
+    hot = [k for k, times in cuts.items() if times > 1]  # at most as many as there are ranges
+    zero = F.lit(0).cast("long")
+    of_hot = lambda c: F.when(F.col("key").isin(hot), c).otherwise(zero) if hot else zero
+    rows = rows.withColumn("h", of_hot(F.xxhash64("text"))).withColumn("salt", of_hot(F.xxhash64(F.monotonically_increasing_id())))
+    inner: dict[int, list[tuple[int, int]]] = {}
+    if hot:
+        found = rows.filter(F.col("key").isin(hot)).select("key", "h", "salt")
+        points: dict[int, list[tuple[int, int]]] = {}
+        for r in found.sample(share, 7).collect():
+            points.setdefault(r["key"], []).append((r["h"], r["salt"]))
+        for k, own in points.items():
+            own.sort()
+            inner[k] = sorted({own[len(own) * i // cuts[k]] for i in range(1, cuts[k])})
+    borders = Borders([*cuts], inner)
+    shared = spark.sparkContext.broadcast(borders)  # RANGES for each partition
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, h, salt = (column(batch, c).to_numpy(zero_copy_only=False) for c in ("key", "h", "salt"))
+            part = shared.value.place(key, h, salt)
+            order = np.lexsort((salt, h, key, part))
+            one = order[np.flatnonzero(np.diff(part[order], prepend=-1))] if len(order) else order
+            yield pa.RecordBatch.from_arrays([pa.array(part[one], pa.int32()), pa.array(key[one]), pa.array(h[one]), pa.array(salt[one])], names=["part", "key", "h", "salt"])
+
+    found = rows.select("key", "h", "salt").mapInArrow(common.freeing(place), "part int, key long, h long, salt long")
+    found = found.groupBy("part").agg(F.min(F.struct("key", "h", "salt")).alias("first")).collect()  # one row for each range
+    firsts = {r["part"]: tuple(r["first"]) for r in found}
     order = sorted(firsts)
     before = {p: order[i - 1] for i, p in enumerate(order)}
-    dealt = rows.mapInArrow(common.freeing(_deal(np.array(borders, np.int64), firsts, before)), "part int, ghost boolean, key long, doc_id long, text string")
-    return dealt.repartition(n, "part").sortWithinPartitions("part", "ghost", "key", "text").drop("key")
+    dealt = rows.mapInArrow(common.freeing(_deal(borders, firsts, before)), "part int, ghost boolean, key long, doc_id long, text string, h long, salt long")
+    return dealt.repartition(n, "part").sortWithinPartitions("part", "ghost", "key", "h", "salt", "text").drop("key", "h", "salt")
 
 
 def _first_ghosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

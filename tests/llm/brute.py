@@ -209,3 +209,14 @@ def contamination(rows, items, window=8, cover=0.5, least=13):
                 if (doc, item) not in out or (coverage, -start) > (out[doc, item][3], -out[doc, item][0]):
                     out[doc, item] = found
     return out
+
+
+def paragraphs(text):
+    """Pieces of the text's bytes: each ends after a run of line or sentence ends, long ones every 64 bytes."""
+    raw = re.findall(rb"[^\n.!?]*[\n.!?]+|[^\n.!?]+", (text or "").encode())
+    return {p[i : i + 64] for p in raw for i in range(0, len(p), 64)}
+
+
+def likeness(one, two):
+    a, b = paragraphs(one), paragraphs(two)
+    return len(a & b) / len(a | b) if a | b else 1.0

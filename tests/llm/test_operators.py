@@ -214,25 +214,48 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def next_rows(rows):
+    """(doc_id, n_chars, edited_sha256, near_edited, near_next) of rows in this order."""
+    out = []
+    for i, (d, t) in enumerate(rows):
+        t, u = t or "", rows[(i + 1) % len(rows)][1] or ""
+        n = len(t) // 4
+        e = t[: len(t) - n] + u[:n]
+        out.append((str(d), len(t), brute.sha(e), round(brute.likeness(t, e), 9), round(brute.likeness(t, u), 9)))
+    return sorted(out)
+
+
+def given(frame):
+    return sorted((str(r.doc_id), r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in frame.collect())
+
+
 def test_fingerprints(docs, empty):
-    got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
-    order = sorted(ROWS, key=lambda r: r[0])
-    for i, (d, t) in enumerate(order):
-        t, u, r = t or "", order[(i + 1) % len(order)][1] or "", got[d]
-        e = fingerprint.edited(t, u)
-        assert (r.n_chars, r.edited_sha256) == (len(t), brute.sha(e))
-        keys, base = fingerprint.digests([t.encode(), e.encode(), u.encode()])
-        a, b, c = (set(keys[base[k] : base[k + 1]].tolist()) for k in range(3))
-        like = lambda x, y: len(x & y) / len(x | y) if x | y else 1.0
-        assert r.near_edited == pytest.approx(like(a, b)) and r.near_next == pytest.approx(like(a, c))
+    got = fingerprint.fingerprints(docs)
+    assert given(got) == next_rows(sorted(ROWS, key=lambda r: r[0]))
+    for r in got.collect():
         one = fingerprint.compare(r.fingerprint, r.edited_fingerprint)
         assert one is None or one == pytest.approx(r.near_edited)
     assert fingerprint.fingerprints(empty).count() == 0
-    assert fingerprint.fingerprints(docs.union(docs)).count() == 2 * len(ROWS)
     one = fingerprint.fingerprints(docs.filter("doc_id = 7")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
 
 
+def test_fingerprints_of_repeated_doc_ids(spark, docs):
+    twice = fingerprint.fingerprints(docs.union(docs))
+    assert given(twice) == next_rows(sorted([*ROWS, *ROWS], key=lambda r: (r[0], r[1] or "")))
+    r = random.Random(8)
+    say = lambda: " ".join(r.choice(["one.", "two", "three!", "four\n", "five"]) for _ in range(r.randint(0, 30)))
+    hot = [(50, say()) for _ in range(90)] + [(50, "the same text. again")] * 150 + [(None, say()) for _ in range(60)] + [(None, None)] * 40
+    rows = [(i, say()) for i in range(30)] + hot + [(70, "a. b"), (60, None)]
+    frame = spark.createDataFrame(r.sample(rows, len(rows)), "doc_id long, text string").repartition(5)
+    h = {x.t: x.h for x in spark.createDataFrame([(t or "",) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    big = lambda d: 1 << 63 if d is None else d
+    want = next_rows(sorted(rows, key=lambda x: (big(x[0]), h[x[1] or ""] if x[0] in (50, None) else 0, x[1] or "")))
+    assert given(fingerprint.fingerprints(frame)) == want
+    dealt = fingerprint.next_to_each(frame).filter("NOT ghost").groupBy("part").count().collect()
+    assert len(dealt) >= 8 and max(x["count"] for x in dealt) < len(rows) / 4
+
+
 def test_decontamination(spark, docs, empty):
     q = "A train of Mr Smith leaves at 9 with 120 passengers and travels 300 km in 4 hours to reach the town of Lisbon before noon"
     bench = spark.createDataFrame([(1, q), (2, None), (3, ""), (4, "tiny zyx question"), (1, q)], "item_id long, text string")
