@@ -10,8 +10,8 @@ Not all pairs of a bucket are written. First, each bucket (in parts of at most P
 sets, all tied to the bucket's first row) gives a maximum spanning forest of its estimates: confirmed links
 of it make components. Then, in buckets that still hold several components, rows outside the bucket's
 largest one are compared with all the others: by signatures alone at first, which are all that goes to the
-bucket's other parts; where an estimate is high enough, the row's full set follows, and only links that hold
-come out, one for each row and component. So any two candidates at 0.8 or more end in one component.
+bucket's other parts, and each pair is looked at in the first band that it has in common; where an estimate
+is high enough, full sets follow, and only links that hold come out, one for each row and component. So any two candidates at 0.8 or more end in one component.
 
 A pair at similarity 0.8 shares no band with probability (1 - 0.8**5)**25 = 5e-5, and its estimate falls
 short of LEAST with a like one (four standard errors). Two different shingles of a pair of documents have
@@ -40,6 +40,7 @@ HASHES, BANDS, ROWS, BITS = 128, 25, 5, 8
 LEAST = 0.66
 PART, PART_BYTES = 4096, 32 << 20
 HOT = 500
+BROADCAST = 16 << 20  # bytes of a table that is sent to all tasks, by its counted rows and their fixed width
 BLOOM = 1 << 26  # bits at most: beyond it, documents are picked by a join on doc_id
 
 _rng = np.random.default_rng(20)
@@ -153,12 +154,15 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(edges)
 
 
-def _candidates(i: int, guest: bool, comp: np.ndarray, own: np.ndarray, main, sig: np.ndarray) -> np.ndarray:
-    """Rows of a list in other components that row i is to be compared with, and like enough by signature."""
-    to = own[comp[own] != comp[i]]
-    if not guest:
-        to = to[(comp[to] == main) | (to > i)]
-    return to[estimate(sig[i], sig[to]) >= LEAST] if len(to) else to
+def _alike(i: int, to: np.ndarray, comp: np.ndarray, sig: np.ndarray, mask: int) -> np.ndarray:
+    """Of the rows `to` of a list those in other components than row i that are like enough by signature, and whose first band in common with it is the list's (mask: its bands)."""
+    to = to[comp[to] != comp[i]]
+    if len(to):
+        to = to[estimate(sig[i], sig[to]) >= LEAST]
+    if len(to):  # a band's minima are ROWS fields one after the other
+        same = (sig[to, : BANDS * ROWS] == sig[i, : BANDS * ROWS]).reshape(len(to), BANDS, ROWS).all(axis=2)
+        to = to[same.any(axis=1) & (mask >> same.argmax(axis=1) & 1 == 1)]
+    return to
 
 
 def _main(comp: np.ndarray):
@@ -168,15 +172,20 @@ def _main(comp: np.ndarray):
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each list, the rows outside its largest component (or sent along from other parts) that a signature of another component is like: lid and id."""
-    for lid, ids, comp, sig, guest in _lists(batches, ("lid", "id", "comp", "signature", "guest")):
+    """Of each list, the rows outside its largest component (or sent along from other parts) whose signatures are like others' in other components, and those others: lid, id and near (false: one of those others)."""
+    for lid, ids, comp, sig, guest, mask in _lists(batches, ("lid", "id", "comp", "signature", "guest", "mask")):
         comp, sig, guest = np.array(comp), _signatures(sig), np.array(guest)
         own = np.flatnonzero(~guest)
-        if len(own):
-            main = _main(comp[own])
-            out = [ids[i] for i in np.flatnonzero(guest | (comp != main)) if len(_candidates(i, guest[i], comp, own, main, sig))]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), lid[0])), pa.array(out, pa.int64())], names=["lid", "id"])
+        if not len(own):
+            continue
+        main = _main(comp[own])
+        near, met = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+        for i in np.flatnonzero(guest | (comp != main)):
+            to = _alike(i, own if guest[i] else own[(comp[own] == main) | (own > i)], comp, sig, mask[0])
+            near[i], met[to] = len(to) > 0, True
+        out = np.flatnonzero(near | met)
+        if len(out):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), lid[0])), pa.array([ids[i] for i in out], pa.int64()), pa.array(near[out])], names=["lid", "id", "near"])
 
 
 def _across(num: int, den: int):
@@ -184,18 +193,17 @@ def _across(num: int, den: int):
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges: list[tuple[int, int]] = []
-        for ids, comp, sig, raw, guest, near in _lists(batches, ("id", "comp", "signature", "members", "guest", "near")):
+        for ids, comp, sig, raw, guest, near, mask in _lists(batches, ("id", "comp", "signature", "members", "guest", "near", "mask")):
             ids, comp, sig, guest = np.array(ids), np.array(comp), _signatures(sig), np.array(guest)
             own = np.flatnonzero(~guest)
             if not len(own):
                 continue
-            main = _main(comp[own])
             size = np.array([len(x) // 8 for x in raw])
             first = np.concatenate(([0], np.cumsum(size)))
             values, sets = np.unique(np.frombuffer(b"".join(raw), "<u8"), return_inverse=True)
             sets, mark = sets.astype(np.int32 if len(values) < 1 << 31 else np.int64), np.zeros(len(values), np.int32)
             for i in np.flatnonzero(np.array(near)):
-                to = _candidates(i, guest[i], comp, own, main, sig)
+                to = _alike(i, own, comp, sig, mask[0])
                 if not len(to):
                     continue
                 mark[sets[first[i] : first[i + 1]]] = 1
@@ -252,6 +260,11 @@ def _confirmer(num: int, den: int):
     return confirm
 
 
+def _small(table: DataFrame, width: int, n: int | None = None) -> DataFrame:
+    """A written table of rows of at most width bytes, to be broadcast if it is small: beside it, sets are not shuffled."""
+    return F.broadcast(table) if (table.count() if n is None else n) * width <= BROADCAST else table
+
+
 def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """id and members, the full set, of the classes in ids (id), from the texts of their smallest doc_ids.
 
@@ -259,7 +272,8 @@ def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFr
     """
     spark = docs.sparkSession
     wanted = common.materialize(ids.select("id").distinct().join(classes.select("id", "digest", "rep"), "id"), "wanted")
-    bits = max(1 << 16, 1 << (16 * wanted.count()).bit_length())
+    many = wanted.count()
+    bits = max(1 << 16, 1 << (16 * many).bit_length())
     if bits <= BLOOM:
         maps = wanted.select((F.pmod(F.xxhash64("rep"), F.lit(bits)) + 1).alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("n")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect()
         bloom = np.zeros(bits >> 3, np.uint8)
@@ -270,7 +284,7 @@ def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFr
     else:
         rows, shared = docs.join(wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), None
     made = common.materialize(rows.mapInArrow(common.freeing(_setter(k, shared)), "rep long, digest binary, members binary"), "sets")
-    out = made.join(wanted, ["rep", "digest"]).select("id", "members")
+    out = made.join(_small(wanted, 64, many), ["rep", "digest"]).select("id", "members")
     n = out.agg(F.count(F.lit(1)).alias("all"), F.count_distinct("id").alias("each")).first()
     return out if n["all"] == n["each"] else out.dropDuplicates(["id"])  # the sets are shuffled for that only if rows repeat
 
@@ -278,11 +292,16 @@ def _sets(ids: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFr
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets are similar enough."""
     sets = _sets(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))), classes, docs, k)
-    # a bucket's first row is in a pair with each other: its set goes to as many places as it has HOT pairs
-    hot = common.materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("copies")).filter("copies > 1"), "hot")
-    pairs = pairs.join(hot, "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int"))
-    firsts = sets.withColumnRenamed("id", "a").join(hot, "a", "left").select("a", F.col("members").alias("x"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
-    both = pairs.join(firsts, ["a", "copy"]).join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
+    firsts, n = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), pairs.count()
+    if n * 32 <= BROADCAST:
+        both = firsts.join(_small(pairs, 32, n), "a")
+    else:  # a bucket's first row is in a pair with each other: its set goes to as many places as it has HOT pairs
+        hot = common.materialize(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("copies")).filter("copies > 1"), "hot")
+        hot = _small(hot, 32)
+        pairs = pairs.join(hot, "a", "left").withColumn("copy", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int"))
+        firsts = firsts.join(hot, "a", "left").select("a", "x", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+        both = pairs.join(firsts, ["a", "copy"])
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
     return common.materialize(both.select("a", "b", "x", "y").mapInArrow(common.freeing(_confirmer(num, den)), "a long, b long"), "confirmed")
 
 
@@ -299,15 +318,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         found = known.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
         classes = common.materialize(found.withColumn("id", F.monotonically_increasing_id()), "classes")
 
-        banded = classes.select("id", "size", F.explode("bands").alias("band"))
+        banded = classes.select("id", "size", F.posexplode("bands").alias("at", "band"))
         counts = banded.groupBy("band").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("bytes")).filter("c > 1")
         counts = common.materialize(counts.select("band", "c", F.ceil(F.greatest(F.col("c") / part, F.col("bytes") * 8 / PART_BYTES)).alias("parts")), "bands")
         dealt = banded.join(counts, "band").withColumn("blk", F.pmod(F.xxhash64("id"), "parts"))
-        listed = common.materialize(dealt.groupBy("band", "blk", "parts").agg(F.array_sort(F.collect_set("id")).alias("ids")), "lists")  # at most about part ids each
+        listed = common.materialize(dealt.groupBy("band", "blk", "parts").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.call_function("shiftleft", F.lit(1), F.min("at")).alias("mask")), "lists")  # at most about part ids each
         large = listed.filter("parts > 1")
-        lists = listed.withColumn("lid", F.when(F.col("parts") > 1, F.xxhash64("band", "blk")).otherwise(F.xxhash64("ids"))).dropDuplicates(["lid"])
-        lists = common.materialize(lists.filter("size(ids) > 1 OR parts > 1").select("lid", "band", "blk", "parts", "ids"), "unique-lists")
-        rows = lists.select("lid", "band", "blk", "parts", F.explode("ids").alias("id"))
+        lists = listed.withColumn("lid", F.when(F.col("parts") > 1, F.xxhash64("band", "blk")).otherwise(F.xxhash64("ids")))
+        lists = lists.groupBy("lid").agg(F.bit_or("mask").alias("mask"), *[F.min(c).alias(c) for c in ("band", "blk", "parts", "ids")])  # lists of the same ids are one, of several bands
+        lists = common.materialize(lists.filter("size(ids) > 1 OR parts > 1").select("lid", "mask", "band", "blk", "parts", "ids"), "unique-lists")
+        rows = lists.select("lid", "mask", "band", "blk", "parts", F.explode("ids").alias("id"))
         signatures = classes.select("id", "signature")
         grouped = rows.select("lid", "id").join(signatures, "id").repartition(n, "lid").sortWithinPartitions("lid", "id")
         trees = grouped.mapInArrow(common.freeing(_forests), "a long, b long")
@@ -331,13 +351,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
             main = hot.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("band").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"))
             others = large.select("band", F.col("blk").alias("to_blk"), F.xxhash64("band", "blk").alias("to_lid"))
             guests = hot.join(common.materialize(main, "main"), "band").filter("comp <> main").join(others, "band").filter("blk <> to_blk")
-            compared = open_rows.select("lid", "id", "comp", "signature", F.lit(False).alias("guest")).unionByName(guests.select(F.col("to_lid").alias("lid"), "id", "comp", "signature", F.lit(True).alias("guest")))
+            compared = open_rows.select("lid", "mask", "id", "comp", "signature", F.lit(False).alias("guest")).unionByName(guests.select(F.col("to_lid").alias("lid"), "mask", "id", "comp", "signature", F.lit(True).alias("guest")))
             compared = common.materialize(compared, "compared")
-            near = common.materialize(compared.repartition(n, "lid").sortWithinPartitions("lid", "id").mapInArrow(common.freeing(_near), "lid long, id long"), "near")
-            # lists where a signature is like one of another component: their own rows, and of the guests those it was
-            left = compared.join(near.select("lid").distinct(), "lid", "left_semi").join(near.withColumn("near", F.lit(True)), ["lid", "id"], "left").filter("near OR NOT guest").withColumn("near", F.coalesce("near", F.lit(False)))
-            left = common.materialize(left, "left")
-            whole = left.join(_sets(left, classes, docs, shingle), "id")
+            near = common.materialize(compared.repartition(n, "lid").sortWithinPartitions("lid", "id").mapInArrow(common.freeing(_near), "lid long, id long, near boolean"), "near")
+            left = common.materialize(compared.join(near, ["lid", "id"]), "left")
+            whole = _sets(left, classes, docs, shingle).join(_small(left, 256), "id")
             more = whole.repartition(n, "lid").sortWithinPartitions("lid", "id").mapInArrow(common.freeing(_across(num, den)), "a long, b long")
             comp = components(common.materialize(links.union(more).distinct(), "all-links"))
 

@@ -124,15 +124,15 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "y"), pa.array(out, pa.binary())], names=["doc_id", "y", "features"])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """doc_id, text, y of at most n labelled documents of each class, with together most_bytes of text. Their ids (at most 2n) go through the driver."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, n: int, most_bytes: int | None = None) -> DataFrame:
+    """doc_id, text, y of at most n labelled documents of each class, with together most_bytes (SAMPLE_BYTES) of text. Their ids (at most 2n) go through the driver."""
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("h", F.xxhash64("text"))
     picked: list[tuple[int, int, int]] = []
     for y in (0, 1):
         mine = labels.filter(F.col(label).cast("int") == y).select(F.col("doc_id").cast("long").alias("doc_id"))
-        left = most_bytes
+        left = SAMPLE_BYTES if most_bytes is None else most_bytes
         for r in common.sample(mine.join(texts.select("doc_id", "h", F.octet_length("text").alias("size")), "doc_id"), n, mine.count()):
             if r["size"] <= left:
                 left -= r["size"]

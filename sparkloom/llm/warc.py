@@ -135,7 +135,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     types = (("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("declared_bytes", pa.int64()), ("declared_digest", pa.string()), ("payload", pa.binary()))
     opened: dict[str, pa.NativeFile] = {}
     for batch in batches:
-        rows = list(zip(*(column(batch, c).to_pylist() for c in ("file", "offset", "length")), strict=True))
+        rows = list(zip(*(column(batch, c).to_pylist() for c in ("file", "offset", "length", "payload_digest")), strict=True))
         for run in _ranges(rows):
             file, begin, end = run[0][0], run[0][1], run[-1][1] + run[-1][2]
             if file not in opened:
@@ -144,16 +144,19 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 fs, inner = _fs(file)
                 opened = {file: fs.open_input_file(inner)}
             data = opened[file].read_at(end - begin, begin)
-            got = [parse(zlib.decompress(data[o - begin : o - begin + n], 31)) for _, o, n in run]
+            got = [parse(zlib.decompress(data[o - begin : o - begin + n], 31)) for _, o, n, _ in run]
+            for x, (_, o, _, wanted) in zip(got, run, strict=True):
+                if wanted != x["declared_digest"] or x["payload"] is not None and digest(x["payload"]) != wanted:
+                    raise ValueError(f"the record at {o} of {file} is not the one that the index names")
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in got], t) for c, t in types], names=[c for c, _ in types])
     for x in opened.values():
         x.close()
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """The records that the index rows name. Rows of one 16 MB stretch of an archive meet in one task, sorted by offset."""
+    """The records that the index rows name; one whose payload has another digest is an error. Rows of one 16 MB stretch of an archive meet in one task, sorted by offset."""
     n = common.partitions(index.sparkSession)
-    at = index.select("file", "offset", "length").withColumn("stretch", F.expr("offset div 16777216"))
+    at = index.select("file", "offset", "length", "payload_digest").withColumn("stretch", F.expr("offset div 16777216"))
     return at.repartition(n, "file", "stretch").sortWithinPartitions("file", "offset").mapInArrow(common.freeing(_reader), RECORD)
 
 

@@ -43,6 +43,8 @@ def test_warc_round_trip(spark):
     assert got[5, "revisit"].declared_digest == warc.digest(page.encode()) and got[9, "revisit"].refers_to == 3
     assert {k for k in got if k[0] in (1, 2, 4, 6)} == {(i, "response") for i in (1, 2, 4, 6)}
     assert warc.read_records(index.filter("page_id = 4")).first().payload == b"tiny"
+    with pytest.raises(Exception, match="not the one that the index names"):
+        warc.read_records(index.withColumn("payload_digest", F.sha2(F.lit(b"other"), 256))).collect()
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_records(warc.write_archives(none)).count() == 0
 
@@ -339,16 +341,51 @@ def test_language_odd(spark, docs):
     assert {r.doc_id: r.lang_pred for r in langid.predict(rows, model).collect()} == {1: "und", 2: "und", 3: "en", 4: "fr", 5: "und"}
 
 
+def test_languages_that_were_not_learned_are_rejected(spark):
+    known = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    texts = ["kaikki ihmiset syntyvät vapaina ja tasavertaisina", "wszyscy ludzie rodzą się wolni i równi", "все люди рождаются свободными", "bütün insanlar hür haysiyet ve haklar", "zxqv wqpl kkzj vvxq pqzx jjwk", "人人生而自由"]
+    model = langid.fit(known)
+    assert sum(r.rejected for r in langid.predict(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), model).collect()) >= 5
+    assert langid.predict(known, model).filter("rejected").count() < 0.02 * known.count()
+
+
+@pytest.mark.parametrize("op", [langid, toxicity])
+def test_repeated_rows_do_not_widen_the_sample(spark, monkeypatch, op):
+    """Three ids with 400 rows each among 40: one row of an id is learned from, in a budget of bytes that a long text does not use up."""
+    rows = [(i, f"word{i} the cat and dog", "en" if i % 2 else "fr") for i in range(40)] + [(i, f"copy {k}", "en") for i in (1, 2, 3) for k in range(400)] + [(99, "long " * 9000, "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    monkeypatch.setattr(op, "SAMPLE_BYTES", 20_000)
+    sizes = []
+    monkeypatch.setattr(op, "train", lambda rows, *_: sizes.append(len(rows)))
+    if op is langid:
+        op.fit(docs)
+        assert sizes == [40]
+    else:
+        labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 3 + [(99, 1), (500, 1)], "doc_id long, toxic int")
+        op.fit(docs, labels)
+        assert sizes == [40]
+        assert op.labelled_sample(docs, labels, "toxic", 8).count() == 16
+
+
 def test_rejection_keeps_its_target():
     best, right = np.repeat([0.9, 0.7, 0.3], [200, 100, 10]), np.repeat([True, False, True], [200, 30, 80])
     assert langid.threshold(best, right) == 0.9 and langid.threshold(best, np.ones(310, bool)) == 0.3
     assert langid.threshold(best, np.zeros(310, bool)) > 1
 
 
-@pytest.mark.parametrize(("run", "label", "least"), [(quality.op5_quality, "quality", 0.95), (toxicity.op7_toxicity, "toxic", 0.88)])
-def test_classifiers_held_out(spark, run, label, least):
-    out = run(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").filter("held_out")
-    assert out.filter(f"predicted = {label}").count() / out.count() >= least
+@pytest.mark.parametrize(("run", "label", "recall", "precision"), [(quality.op5_quality, "quality", 0.95, 0.95), (toxicity.op7_toxicity, "toxic", 0.84, 0.95)])
+def test_classifiers_held_out(spark, run, label, recall, precision):
+    """Recall and precision of label 1 apart. Of the toxic labels of this table some 12 % are at documents without any of the words that the others have."""
+    data = "/root/testdata/sf0.1"
+    out = run(spark, data).join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").filter("held_out")
+    n = out.agg(F.sum(label).alias("is"), F.sum("predicted").alias("said"), F.sum(F.col("predicted") * F.col(label)).alias("both")).first()
+    assert n["both"] >= recall * n["is"] and n["both"] >= precision * n["said"]
+
+
+def test_toxicity_of_few_labels(spark):
+    """At sf0.01 six held-out documents are toxic: most are found, and hardly a clean one is."""
+    out = toxicity.op7_toxicity(spark, DATA).join(spark.read.parquet(f"{DATA}/labels.parquet"), "doc_id").filter("held_out")
+    assert out.filter("toxic = 1 AND predicted = 1").count() >= 4 and out.filter("toxic = 0 AND predicted = 1").count() <= 1
 
 
 @pytest.mark.parametrize("op", [quality, toxicity])
