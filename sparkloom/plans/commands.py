@@ -95,16 +95,27 @@ def many_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return execute(log.unionByName(ends.selectExpr("seq + CAST(1000000000 AS BIGINT) AS seq", "at", "op", "IF(size(args) = 0, CAST(array() AS array<string>), args) AS args")))[0]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"kv_{f.__name__}": f for f in (set_options, set_replies, deadlines, renamed, got_and_gone, list_commands, zadd_flags, set_stores, text_commands, many_keys)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "set_flags": set_options,
+    "setnx": set_replies,
+    "ttl_left": deadlines,
+    "rename": renamed,
+    "getdel": got_and_gone,
+    "list_commands": list_commands,
+    "zadd_flags": zadd_flags,
+    "set_stores": set_stores,
+    "text_commands": text_commands,
+    "mset": many_keys,
+}
 
 _C = "c AS (SELECT CAST(c_custkey AS BIGINT) AS n, CAST(c_custkey AS VARCHAR) AS id, c_name, c_nationkey FROM customer)"
 _STATE = "CAST(NULL AS BIGINT)"
 ORACLE_SQL = {
-    "kv_set_options": f"""WITH {_C} SELECT 'user:' || id AS key, 'string' AS type, CASE WHEN n % 2 = 0 THEN '"new"' ELSE '"' || c_name || '"' END AS value, CAST(CASE WHEN n % 2 = 0 THEN 11500000 ELSE 50000000 END AS BIGINT) AS deadline FROM c
+    "set_flags": f"""WITH {_C} SELECT 'user:' || id AS key, 'string' AS type, CASE WHEN n % 2 = 0 THEN '"new"' ELSE '"' || c_name || '"' END AS value, CAST(CASE WHEN n % 2 = 0 THEN 11500000 ELSE 50000000 END AS BIGINT) AS deadline FROM c
         UNION ALL SELECT 'more:' || id, 'string', '"first"', {_STATE} FROM c WHERE n % 3 <> 0""",
-    "kv_set_replies": f"""WITH {_C} SELECT n AS seq, '"OK"' AS reply FROM c UNION ALL SELECT 100000000 + n, '"' || c_name || '"' FROM c
+    "setnx": f"""WITH {_C} SELECT n AS seq, '"OK"' AS reply FROM c UNION ALL SELECT 100000000 + n, '"' || c_name || '"' FROM c
         UNION ALL SELECT 200000000 + n, CASE WHEN n % 2 = 0 THEN '"OK"' ELSE 'null' END FROM c UNION ALL SELECT 300000000 + n, CASE WHEN n % 3 = 0 THEN 'null' ELSE '"OK"' END FROM c""",
-    "kv_deadlines": f"""WITH {_C}, d AS (SELECT n, 1 + n % 10 + 1 AS due, n % 4 = 0 AS free, n % 10 > 4 AS again FROM c),
+    "ttl_left": f"""WITH {_C}, d AS (SELECT n, 1 + n % 10 + 1 AS due, n % 4 = 0 AS free, n % 10 > 4 AS again FROM c),
         e AS (SELECT n, due, free, again, CASE WHEN free AND due > 2 THEN NULL ELSE due END AS due1 FROM d),
         f AS (SELECT *, due1 IS NOT NULL AND due1 <= 3 AS dead3 FROM e),
         g AS (SELECT *, CASE WHEN again AND NOT dead3 THEN 7.5 ELSE due1 END AS due2 FROM f),
@@ -116,18 +127,18 @@ ORACLE_SQL = {
         UNION ALL SELECT 500000000 + n, CASE WHEN due2 IS NULL THEN '-1' WHEN due2 <= 4 THEN '-2' ELSE CAST(CAST(floor((due2 - 4) * 1000) AS BIGINT) AS VARCHAR) END FROM h
         UNION ALL SELECT 600000000 + n, CASE WHEN dead5 THEN '0' ELSE '1' END FROM h
         UNION ALL SELECT 700000000 + n, CASE WHEN dead5 THEN '-2' ELSE '3' END FROM h UNION ALL SELECT 800000000 + n, 'null' FROM h""",
-    "kv_renamed": """WITH m AS (SELECT n_nationkey % 20 AS k, arg_max(n_name, n_nationkey) AS v FROM nation GROUP BY 1), a AS (SELECT n_nationkey AS k FROM nation)
+    "rename": """WITH m AS (SELECT n_nationkey % 20 AS k, arg_max(n_name, n_nationkey) AS v FROM nation GROUP BY 1), a AS (SELECT n_nationkey AS k FROM nation)
         SELECT 'm:' || CAST(a.k AS VARCHAR) AS key, 'string' AS type, '"' || coalesce(v, '') || '!"' AS value, CASE WHEN v IS NULL THEN NULL ELSE CAST(100000000 AS BIGINT) END AS deadline FROM a LEFT JOIN m ON a.k = m.k""",
-    "kv_got_and_gone": f"""WITH {_C}, s AS (SELECT n - n % 2 AS k, max(n) AS by_n FROM c GROUP BY 1), a AS (SELECT n AS k FROM c UNION SELECT k FROM s)
+    "getdel": f"""WITH {_C}, s AS (SELECT n - n % 2 AS k, max(n) AS by_n FROM c GROUP BY 1), a AS (SELECT n AS k FROM c UNION SELECT k FROM s)
         SELECT 'user:' || CAST(a.k AS VARCHAR) AS key, 'string' AS type, '"' || CASE WHEN by_n IS NOT NULL THEN 'by ' || CAST(by_n AS VARCHAR) ELSE c_name END || '"' AS value, CASE WHEN by_n IS NULL THEN CAST(9000000 AS BIGINT) END AS deadline
         FROM a LEFT JOIN s ON a.k = s.k LEFT JOIN c ON c.n = a.k WHERE NOT EXISTS (SELECT 1 FROM c x WHERE x.n * 5 = a.k)""",
-    "kv_list_commands": """WITH l AS (SELECT user_id AS u, event_id AS i, event_type || CASE WHEN event_id % 3 = 0 THEN '' ELSE CAST(event_id AS VARCHAR) END AS e FROM events),
+    "list_commands": """WITH l AS (SELECT user_id AS u, event_id AS i, event_type || CASE WHEN event_id % 3 = 0 THEN '' ELSE CAST(event_id AS VARCHAR) END AS e FROM events),
         a AS (SELECT u, i, e FROM l QUALIFY NOT (e = 'click' AND sum(CASE WHEN e = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY u ORDER BY i) <= 2)),
         b AS (SELECT u, i, e FROM a QUALIFY NOT (e = 'click' AND sum(CASE WHEN e = 'click' THEN 1 ELSE 0 END) OVER (PARTITION BY u ORDER BY i DESC) <= 1)),
         d AS (SELECT u, i, e, row_number() OVER (PARTITION BY u ORDER BY i) AS r, row_number() OVER (PARTITION BY u ORDER BY i DESC) AS back FROM b WHERE e <> 'view'),
         o AS (SELECT u, string_agg('"' || e || '"', ',' ORDER BY i) AS s FROM d WHERE r > 3 AND back BETWEEN 2 AND 7 GROUP BY u)
         SELECT 1400000000 + t.u AS seq, '[' || coalesce(s, '') || ']' AS reply FROM (SELECT DISTINCT CAST(user_id AS BIGINT) AS u FROM events) t LEFT JOIN o ON o.u = t.u""",
-    "kv_zadd_flags": """WITH v AS (SELECT user_id % 5 AS z, 'm' || CAST(user_id AS VARCHAR) AS m, CAST(floor(value) AS BIGINT) AS s, CAST(event_id AS BIGINT) AS i FROM events),
+    "zadd_flags": """WITH v AS (SELECT user_id % 5 AS z, 'm' || CAST(user_id AS VARCHAR) AS m, CAST(floor(value) AS BIGINT) AS s, CAST(event_id AS BIGINT) AS i FROM events),
         w AS (SELECT *, max(s) OVER (PARTITION BY z, m ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM v), x AS (SELECT z, m, max(s) AS s FROM v GROUP BY 1, 2),
         k AS (SELECT CAST(n_nationkey AS BIGINT) AS z FROM nation WHERE n_nationkey < 5),
         p AS (SELECT z, m, s, row_number() OVER (PARTITION BY z ORDER BY s DESC, m DESC) AS r FROM x WHERE s <= 50 AND s > 10),
@@ -139,18 +150,18 @@ ORACLE_SQL = {
         UNION ALL SELECT 1200000000 + z, '[' || string_agg('"' || m || '"', ',' ORDER BY r) || ']' FROM q WHERE r <= 2 GROUP BY z
         UNION ALL SELECT 1300000000 + z, CAST(count(*) FILTER (WHERE s < 20) AS VARCHAR) FROM y GROUP BY z
         UNION ALL SELECT 1400000000 + z, 'null' FROM k""",
-    "kv_set_stores": f"""WITH {_C}, s AS (SELECT DISTINCT c_nationkey AS k, CAST(n % 7 AS VARCHAR) AS m FROM c), k AS (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation WHERE n_nationkey < 4)
+    "set_stores": f"""WITH {_C}, s AS (SELECT DISTINCT c_nationkey AS k, CAST(n % 7 AS VARCHAR) AS m FROM c), k AS (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation WHERE n_nationkey < 4)
         SELECT 1000000000 + k.k AS seq, CAST(count(DISTINCT m) AS VARCHAR) AS reply FROM k JOIN s ON s.k IN (0, k.k) GROUP BY k.k
         UNION ALL SELECT 1100000000 + k.k, CAST((SELECT count(*) FROM (SELECT m FROM s WHERE k IN (0, 3) INTERSECT SELECT m FROM s WHERE k = 1) i) AS VARCHAR) FROM k
         UNION ALL SELECT 1200000000 + k.k, '[' || coalesce(string_agg('"' || m || '"', ',' ORDER BY m), '') || ']' FROM k LEFT JOIN s ON s.k = k.k AND m NOT IN (SELECT m FROM s t WHERE t.k = 2) GROUP BY k.k
         UNION ALL SELECT 1300000000 + k.k, CAST((SELECT count(*) FROM (SELECT m FROM s WHERE k IN (0, 3) INTERSECT SELECT m FROM s WHERE k = 1) i) AS VARCHAR) FROM k""",
-    "kv_text_commands": f"""WITH {_C} SELECT n AS seq, CAST(length(c_name) AS VARCHAR) AS reply FROM c UNION ALL SELECT 100000000 + n, CAST(length(c_name) + 2 AS VARCHAR) FROM c
+    "text_commands": f"""WITH {_C} SELECT n AS seq, CAST(length(c_name) AS VARCHAR) AS reply FROM c UNION ALL SELECT 100000000 + n, CAST(length(c_name) + 2 AS VARCHAR) FROM c
         UNION ALL SELECT 200000000 + n, CAST(length(c_name) + 2 AS VARCHAR) FROM c UNION ALL SELECT 300000000 + n, '"' || right(c_name, 3) || 'é"' FROM c
         UNION ALL SELECT 400000000 + n, CAST(CAST(sum(n) OVER (PARTITION BY n % 9 ORDER BY n) AS BIGINT) AS VARCHAR) FROM c
         UNION ALL SELECT 500000000 + n, '"10.5"' FROM c UNION ALL SELECT 600000000 + n, '"10.25"' FROM c
         UNION ALL SELECT 700000000 + n, '{{"error":"WRONGTYPE Operation against a key holding the wrong kind of value"}}' FROM c
         UNION ALL SELECT 800000000 + n, '{{"error":"ERR value is not an integer or out of range"}}' FROM c""",
-    "kv_many_keys": f"""WITH {_C}, b AS (SELECT n // 2 AS k, min(n) AS first FROM c GROUP BY 1) SELECT n AS seq, '"OK"' AS reply FROM c
+    "mset": f"""WITH {_C}, b AS (SELECT n // 2 AS k, min(n) AS first FROM c GROUP BY 1) SELECT n AS seq, '"OK"' AS reply FROM c
         UNION ALL SELECT 100000000 + n, '["' || id || '",null,"' || id || '"]' FROM c UNION ALL SELECT 200000000 + n, '3' FROM c
         UNION ALL SELECT 300000000 + n, CASE WHEN first = n THEN '2' ELSE '1' END FROM c JOIN b ON n // 2 = k
         UNION ALL SELECT * FROM (VALUES (1000000003, '0'), (1100000003, '"OK"'), (1200000003, '1'), (1300000003, '"OK"'), (1400000003, '0')) v""",

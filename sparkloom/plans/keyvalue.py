@@ -87,13 +87,8 @@ QUERIES: dict[str, tuple[str, str, str | None]] = {
     "hvals": ("events", f"SELECT k, v FROM {_H}", None),
     "hincrby": ("events", "SELECT user_id AS k, event_type AS f, SUM(event_id) AS v FROM events GROUP BY user_id, event_type", "SELECT user_id AS k, event_type AS f, CAST(SUM(event_id) AS BIGINT) AS v FROM events GROUP BY user_id, event_type"),
     "hincrbyfloat": ("events", "SELECT user_id AS k, event_type AS f, ROUND(SUM(value), 3) AS v FROM events GROUP BY user_id, event_type", None),
-    "set_flags": ("customer", *_both("SELECT k, CASE WHEN c_custkey % 2 = 0 THEN 'nx-kept' ELSE v END AS v FROM @K WHERE t = 'string'")),
     "get": ("customer", *_both("SELECT k, v FROM @K WHERE k = 'user:10' AND t = 'string'")),
     "mget": ("customer", *_both("SELECT q.x AS k, s.v FROM (SELECT 'user:10' AS x UNION ALL SELECT 'user:20' UNION ALL SELECT 'nobody') q LEFT JOIN @K ON q.x = s.k")),
-    "getdel": ("customer", *_both("SELECT k, v FROM @K WHERE k <> 'user:10'")),
-    "getset": ("customer", *_both("SELECT k, v AS old, 'fresh' AS v FROM @K WHERE t = 'string'")),
-    "mset": ("customer", *_both("SELECT COALESCE(n.x, s.k) AS k, COALESCE(n.y, s.v) AS v FROM @K FULL JOIN (SELECT 'user:10' AS x, 'A' AS y UNION ALL SELECT 'fresh', 'B') n ON n.x = s.k")),
-    "setnx": ("customer", *_both("SELECT x AS k, CASE WHEN s.k IS NULL THEN 1 ELSE 0 END AS done FROM (SELECT 'user:10' AS x UNION ALL SELECT 'fresh') n LEFT JOIN @K ON n.x = s.k")),
     "incrby_replay": ("events", "SELECT user_id AS k, SUM(CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id % 5 END) AS v FROM events GROUP BY user_id", "SELECT user_id AS k, CAST(SUM(CASE WHEN event_id % 3 = 0 THEN -1 ELSE event_id % 5 END) AS BIGINT) AS v FROM events GROUP BY user_id"),
     "incrbyfloat": ("events", "SELECT user_id AS k, ROUND(SUM(value), 3) AS v FROM events GROUP BY user_id", None),
     "append": ("customer", *_both("SELECT k, concat(v, '!') AS v, CAST(length(v) + 1 AS BIGINT) AS n FROM @K")),
@@ -103,11 +98,8 @@ QUERIES: dict[str, tuple[str, str, str | None]] = {
     "scan_page": ("customer", *_both("SELECT k FROM @K ORDER BY k LIMIT 10 OFFSET 20")),
     "type_of": ("customer", *_both("SELECT k, t FROM @K")),
     "exists": ("customer", *_both("SELECT COUNT(*) AS n FROM @K JOIN (SELECT 'user:1' AS x UNION ALL SELECT 'user:1' UNION ALL SELECT 'none') q ON q.x = s.k")),
-    "ttl_left": ("customer", *_both("SELECT k, CASE WHEN left_s IS NULL THEN -1 WHEN left_s <= 0 THEN -2 ELSE left_s END AS ttl FROM @K")),
-    "persist": ("customer", *_both("SELECT k, CASE WHEN left_s > 0 THEN 1 ELSE 0 END AS dropped FROM @K")),
     "expire_filter": ("customer", *_both("SELECT k, v FROM @K WHERE left_s IS NULL OR left_s > 0")),
     "del_keys": ("customer", *_both("SELECT k FROM @K WHERE k NOT IN ('user:1', 'user:2')")),
-    "rename": ("customer", *_both("SELECT CASE WHEN k = 'user:1' THEN 'user:one' ELSE k END AS k, v FROM @K")),
     "dbsize": ("customer", *_both("SELECT db, COUNT(*) AS n FROM @K WHERE left_s IS NULL OR left_s > 0 GROUP BY db")),
     "flushdb": ("customer", *_both("SELECT k FROM @K WHERE db <> 0")),
     "select_db": ("customer", *_both("SELECT k, v FROM @K WHERE db = 1")),
