@@ -146,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """A model from docs (doc_id, text) and labels (doc_id, toxic); None if no labelled document is there."""
     common.tune(docs.sparkSession)
     rows = labelled_sample(docs, labels, "toxic", SAMPLE).select("doc_id", "y", "text").mapInArrow(common.freeing(_sets), "doc_id long, y int, features binary")
-    got = [(r.doc_id, r.y, bytes(r.features)) for r in common.materialize(rows, "features").toLocalIterator()]  # one part at a time through the driver's heap
+    with common.scope():
+        got = [(r.doc_id, r.y, bytes(r.features)) for r in common.materialize(rows, "features").toLocalIterator()]  # one part at a time through the driver's heap
     if not got:
         return None
     got.sort()
