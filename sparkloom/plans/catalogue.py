@@ -41,13 +41,9 @@ def ring_after_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owners(spark.read.parquet(f"{sf_dir}/nation.parquet").selectExpr("n_nationkey AS node").where("node NOT IN (3, 7)"), spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr("c_custkey AS key"))
 
 
-def now(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql("SELECT current_timestamp() AS now")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     out = {name: _runner(tables, sql) for name, (tables, sql, _) in _SQL.items() if sql}
-    return out | {f.__name__: f for f in (describe_table, ring_distribution, ring_after_stop, now)} | mutations.QUERIES | commands.QUERIES
+    return out | {f.__name__: f for f in (describe_table, ring_distribution, ring_after_stop)} | mutations.QUERIES | commands.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:

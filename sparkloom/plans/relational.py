@@ -48,4 +48,5 @@ QUERIES: dict[str, tuple[str, str, str | None]] = {
     "order_unprojected": ("orders", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10", None),
     "order_nulls": ("customer", "SELECT c_custkey, seg FROM (SELECT c_custkey, NULLIF(c_mktsegment, 'BUILDING') AS seg FROM customer) t ORDER BY seg ASC NULLS FIRST, c_custkey LIMIT 30", None),
     "any_of_group": ("customer nation", "SELECT c_nationkey, any_value(n_name) AS n_name, COUNT(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_nationkey", None),
+    "now": ("orders", "SELECT o_orderstatus, COUNT(*) AS n FROM orders WHERE CAST(o_orderdate AS DATE) < CAST(NOW() AS DATE) GROUP BY o_orderstatus", None),
 }
