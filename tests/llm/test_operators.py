@@ -415,6 +415,82 @@ def test_same_rows_as_sql(spark, name):
     assert sorted(tuple(map(str, r)) for r in QUERIES[name](spark, SMALL).select(names).collect()) == sorted(tuple(map(str, r)) for r in want.fetchall())
 
 
+def pieces_are_the_tokenizers(frame, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    got = {}
+    for r in sorted(packing.pack(frame).collect(), key=lambda r: r.start):
+        got[r.doc_id] = got.get(r.doc_id, b"") + bytes(r.ids)
+    return got == {d: np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for d, x in rows}
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Thue-Morse words: equal under a polynomial modulo 2**64 of any base."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    say = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{say} {word}"), (2, f"{say} {other}"), (3, f"{word} x {other}."), (4, f"{other} x {word}."), (5, " ".join([word] * 30)), (6, " ".join([word, other] * 15)), (7, f"{say} {word}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.remove_repeats(frame).collect()} == brute.repeats(rows)
+    assert found(frame) == brute.near_duplicates(rows, 4)
+    assert given(fingerprint.fingerprints(frame)) == next_rows(rows)
+    assert pieces_are_the_tokenizers(frame, rows)
+
+
+def test_words_of_one_hash_are_told_apart(spark, monkeypatch):
+    """Packing where all words of a length have the same hash."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "word_hashes", lambda data, start, end: (end - start).astype(np.uint64))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t, e = Tokenizer.from_file(path), packing.Encoder(path)
+    texts = ["cat dog", "dog cat", "a b c", "cat", "", "x" * 70 + " " + "y" * 70]
+    for _ in range(2):
+        data = np.frombuffer("".join(texts).encode(), np.uint8)
+        got = e.encode(data, np.concatenate(([0], np.cumsum([len(x) for x in texts]))))
+        assert [x.tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_other_tokenizers_encode_whole_texts(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), packing.Encoder(path)
+    assert not e.by_words and packing.Encoder(public_tokenizers.path("word_bpe_49k.json")).by_words
+    text = "Two words,  and\nlines."
+    assert e.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0].tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_batches_are_rectangles(docs):
+    sizes = {}
+    for r in packing.pack(docs).collect():
+        sizes.setdefault(r.batch_id, []).append(r.length)
+    assert all(len(set(x)) == 1 and sum(x) <= packing.BATCH for x in sizes.values()) and max(map(len, sizes.values())) > 1
+
+
+def test_very_long_texts(spark):
+    """Texts of some 3 MB: one of different words, one of a single word, one of a single line of repeats."""
+    r = random.Random(3)
+    words = " ".join(f"{r.randrange(10**6):x}" for _ in range(450_000))
+    rows = [(1, words), (2, "z" * 3_000_000), (3, "again and again. " * 180_000), (4, "short")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert {x.doc_id: (x.n_words, x.n_removed) for x in substrings.remove_repeats(frame).collect()} == {d: v[:2] for d, v in brute.repeats(rows).items()}
+    assert found(frame) == brute.near_duplicates(rows, 4)
+    assert pieces_are_the_tokenizers(frame, rows)
+    assert [(x[1], x[2]) for x in given(fingerprint.fingerprints(frame))] == [(x[1], x[2]) for x in next_rows(rows)]
+    bench = spark.createDataFrame([(1, "again and again and again"), (2, words[1000:1400])], "item_id long, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.contamination(frame, bench).collect()} >= {(1, 2)}
+    labels = spark.createDataFrame([(1, 0, 0), (2, 1, 1), (3, 0, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    for op in (quality, toxicity):
+        assert op.predict(frame, op.fit(frame, labels)).count() == 4
+    model = langid.fit(frame.withColumn("lang", F.when(F.col("doc_id") > 2, "en").otherwise("xx")))
+    assert langid.predict(frame, model).count() == 4
+
+
 def test_pipeline(spark):
     """Against its stages in plain Python; the toxicity model's scores alone are the operator's own."""
     import public_tokenizers
