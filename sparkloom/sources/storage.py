@@ -43,11 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def _remover(spark: SparkSession, path: str) -> Callable[[], None]:
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-
     def remove() -> None:
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(conf).delete(at, True)
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
     return remove
 
