@@ -6,6 +6,8 @@ rows (key, member, score): a huge value is many rows and no single one. Ranks ar
 
 from __future__ import annotations
 
+from ..functions.text import glob_regex
+
 #: sorted set: customers of a nation by balance
 _Z = "(SELECT c_nationkey AS k, c_custkey AS m, c_acctbal AS s FROM customer) z"
 _RANKED = f"(SELECT k, m, s, CAST(row_number() OVER (PARTITION BY k ORDER BY s, m) AS BIGINT) - 1 AS r, CAST(row_number() OVER (PARTITION BY k ORDER BY s DESC, m DESC) AS BIGINT) - 1 AS rr FROM {_Z}) t"
@@ -34,6 +36,9 @@ _K = "(SELECT concat('user:', CAST(c_custkey AS {s})) AS k, c_name AS v, CASE WH
 _KS, _KD = _K.format(s="STRING"), _K.format(s="VARCHAR")
 
 
+_GLOB, _KEYS = "us?r:[1-3]*[!05]", "SELECT k FROM {k} WHERE k {test}"
+
+
 def _both(sql: str) -> tuple[str, str]:
     return sql.replace("@K", _KS), sql.replace("@K", _KD)
 
@@ -94,7 +99,7 @@ QUERIES: dict[str, tuple[str, str, str | None]] = {
     "append": ("customer", *_both("SELECT k, concat(v, '!') AS v, CAST(length(v) + 1 AS BIGINT) AS n FROM @K")),
     "strlen": ("documents", "SELECT doc_id, CAST(octet_length(text) AS BIGINT) AS n FROM documents", "SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n FROM documents"),
     "getrange": ("documents", "SELECT doc_id, substring(text, 3, 8) AS head, right(text, 4) AS tail FROM documents", None),
-    "keys_glob": ("customer", *_both("SELECT k FROM @K WHERE k LIKE 'user:1_'")),
+    "keys_glob": ("customer", _KEYS.format(k=_KS, test="RLIKE '" + glob_regex(_GLOB).replace("\\", "\\\\") + "'"), _KEYS.format(k=_KD, test=f"GLOB '{_GLOB}'")),
     "scan_page": ("customer", *_both("SELECT k FROM @K ORDER BY k LIMIT 10 OFFSET 20")),
     "type_of": ("customer", *_both("SELECT k, t FROM @K")),
     "exists": ("customer", *_both("SELECT COUNT(*) AS n FROM @K JOIN (SELECT 'user:1' AS x UNION ALL SELECT 'user:1' UNION ALL SELECT 'none') q ON q.x = s.k")),

@@ -18,15 +18,17 @@ def _ring(alive: str) -> str:
     return f"SELECT k.key, COALESCE(arg_min(r.node, r.h) FILTER (WHERE r.h > k.hk), arg_min(r.node, r.h)) AS node FROM (SELECT c_custkey AS key, md5(CAST(c_custkey AS VARCHAR)) AS hk FROM customer) k CROSS JOIN {tokens} r GROUP BY k.key, k.hk"
 
 
+_CK = "SELECT user_id, ts, event_type FROM events WHERE user_id = 3 AND ts >= {t} '2024-01-08 00:00:00' AND ts < {t} '2024-01-22 12:00:00'"
+
 QUERIES: dict[str, tuple[str, str, str | None]] = {
     "partition_scan": ("events", "SELECT user_id, ts, event_type, value FROM events WHERE user_id = 7", None),
-    "point_get": ("events", "SELECT user_id, ts, value FROM events WHERE user_id = 7 AND event_id < 2000", None),
+    "point_get": ("events", "SELECT user_id, ts, value FROM events WHERE user_id = 7 AND ts = (SELECT MAX(ts) FROM events WHERE user_id = 7)", None),
     "lww_resolve": ("events", f"SELECT user_id, event_type, value FROM ({_LWW}) t", f"SELECT user_id, event_type, value FROM ({_LWW_DUCK}) t"),
     "lww_tombstone": ("events", f"SELECT user_id, event_type, value FROM ({_LWW}) t WHERE NOT dead", f"SELECT user_id, event_type, value FROM ({_LWW_DUCK}) t WHERE NOT dead"),
     "replica_merge": ("events", "SELECT user_id, event_type, max_by(value, struct(ts, event_id)) AS value FROM (SELECT * FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT * FROM events WHERE event_id % 3 <> 1) r GROUP BY user_id, event_type", "SELECT user_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1"),
     "ttl_expired": ("events", f"SELECT user_id, ts, value FROM events WHERE ts + make_interval(0, 0, 0, CAST(event_id % 400 AS INT)) > CAST({_NOW} AS TIMESTAMP_NTZ)", f"SELECT user_id, ts, value FROM events WHERE ts + to_days(CAST(event_id % 400 AS INT)) > {_NOW}"),
     "ck_point": ("events", "SELECT e.user_id, e.ts, e.value FROM events e JOIN (SELECT user_id, MIN(ts) AS ts FROM events GROUP BY user_id) f ON e.user_id = f.user_id AND e.ts = f.ts", None),
-    "ck_range": ("events", "SELECT user_id, ts, event_type FROM events WHERE user_id = 3 AND event_id >= 100 AND event_id < 5000", None),
+    "ck_range": ("events", _CK.format(t="TIMESTAMP_NTZ"), _CK.format(t="TIMESTAMP")),
     "ck_desc_limit": ("events", "SELECT user_id, ts, value FROM events WHERE user_id = 5 ORDER BY ts DESC LIMIT 10", None),
     "cql_count": ("events", "SELECT COUNT(*) AS count FROM events WHERE user_id = 5 AND event_type = 'click'", None),
     "cql_filter": ("events", "SELECT ts, value FROM events WHERE user_id = 5 AND value > 20 ORDER BY ts LIMIT 50", None),
