@@ -37,7 +37,7 @@ from .kernel import _MASK, LONG, LOWER, SPACE, blocks, column, eights, runs, wor
 
 MAX_LEN, END = 2048, 1
 BATCH = 16_384  # ids of a batch, at most
-CACHE, CACHE_BYTES = 1_000_000, 64 << 20  # words whose ids are kept at a time, and the bytes of these words
+CACHE, CACHE_BYTES = 500_000, 32 << 20  # words whose ids are kept at a time, and the bytes of these words
 # How a tokenizer file must normalise and split for words to be tokenised one by one.
 FIXED = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
