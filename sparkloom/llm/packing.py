@@ -9,8 +9,9 @@ batch of each length is shorter. Nothing is shuffled: batches hold documents of
 A word (a run without white space) is tokenised once and its ids kept, in a table of bounded size: the
 tokenizer drops white space, lowers case and splits at white space and between letters and marks, so a
 text's ids are those of its words in order, and A-Z may be lowered and a space set before a mark first.
-The table is asked by hashes, and then the bytes of each word are compared with those that were tokenised;
-a text with a word that differs goes to the tokenizer whole. So do texts with the separators 0x1C to 0x1F,
+New words of letters alone go to the tokenizer many at a time, with spaces between: each ends with the one id
+of its that is marked as a word's last. The table is asked by hashes, and then the bytes of each word are
+compared with those that were tokenised; a text with a word that differs goes to the tokenizer whole. So do texts with the separators 0x1C to 0x1F,
 on which Python and the tokenizer differ, or with anything like a special token, and all texts if the
 tokenizer file does not split as FIXED says.
 
@@ -36,6 +37,7 @@ from . import common
 from .kernel import _MASK, LONG, LOWER, SPACE, blocks, column, eights, runs, word_hashes
 
 MAX_LEN, END = 2048, 1
+JOINED = 500  # words that go to the tokenizer as one text
 BATCH = 16_384  # ids of a batch, at most
 CACHE, CACHE_BYTES = 500_000, 32 << 20  # words whose ids are kept at a time, and the bytes of these words
 # How a tokenizer file must normalise and split for words to be tokenised one by one.
@@ -56,6 +58,15 @@ _SPLIT[0x1C:0x20] = True
 SCHEMA = "doc_id long, start long, length long, bucket int, doc_tokens long, batch_id long, ids binary"
 
 
+def _plain(data: np.ndarray) -> np.ndarray:
+    """Bytes of the letters a to z and of U+00C0 to U+00FF, whatever else they are next to."""
+    second = np.zeros(len(data), bool)
+    second[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0xBF) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    first = np.zeros(len(data), bool)
+    first[:-1] = second[1:]
+    return _LETTER[data] | first | second
+
+
 class Encoder:
     """Ids of texts by a tokenizers file, with the ids of words kept."""
 
@@ -68,6 +79,9 @@ class Encoder:
             file = json.load(f)
         marks = all(t["content"].startswith("<|") for t in file.get("added_tokens", []))
         self.by_words = marks and file["model"].get("dropout") is None and {k: file.get(k) for k in FIXED} == FIXED
+        ends = [i for w, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")] if file["model"].get("end_of_word_suffix") == "</w>" else []
+        self.last = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.last[ends] = True
         self.clear()
 
     def clear(self) -> None:
@@ -76,18 +90,38 @@ class Encoder:
         self.pool = np.zeros(0, np.uint32)
         self.spelt, self.spelt_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # bytes of the words, and each one's first
 
-    def _learn(self, keys: np.ndarray, new: list[bytes]) -> None:
-        got = [x.ids for x in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and the ids."""
+        got = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int64, len(got))
-        base = len(self.pool)
-        at = np.searchsorted(self.keys, keys)
-        self.slot = np.insert(self.slot, at, np.arange(len(self.lengths), len(self.lengths) + len(new)))
-        self.keys = np.insert(self.keys, at, keys)
-        self.starts = np.concatenate((self.starts, base + np.cumsum(n) - n))
+        return n, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))
+
+    def _learn(self, keys: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Keep the ids of words of a block, given in the order of their hashes."""
+        size = end - start
+        at = np.cumsum(size)
+        spelt = low[np.arange(at[-1]) + np.repeat(start - at + size, size)]
+        raw = spelt.tobytes()
+        own = [raw[a:b].decode("utf-8", "replace") for a, b in zip((at - size).tolist(), at.tolist(), strict=True)]
+        odd = np.concatenate(([0], np.cumsum(~_plain(spelt))))
+        plain = (odd[at] == odd[at - size]) & self.last.any()
+        some = [own[i] for i in np.flatnonzero(plain)]
+        _, ids = self._ids([" ".join(some[i : i + JOINED]) for i in range(0, len(some), JOINED)])
+        lasts = np.flatnonzero(self.last[ids]) + 1
+        if len(lasts) != len(some):  # not as thought: one by one
+            plain, ids, lasts = np.zeros(len(size), bool), ids[:0], lasts[:0]
+        rest, more = self._ids([own[i] for i in np.flatnonzero(~plain)])
+        n, first = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+        n[plain], n[~plain] = np.diff(lasts, prepend=0), rest
+        first[plain], first[~plain] = lasts - n[plain], len(ids) + np.cumsum(rest) - rest
+        where = np.searchsorted(self.keys, keys)
+        self.slot = np.insert(self.slot, where, np.arange(len(self.lengths), len(self.lengths) + len(size)))
+        self.keys = np.insert(self.keys, where, keys)
+        self.starts = np.concatenate((self.starts, len(self.pool) + first))
         self.lengths = np.concatenate((self.lengths, n))
-        self.pool = np.concatenate((self.pool, np.fromiter(chain.from_iterable(got), np.uint32, int(n.sum()))))
-        self.spelt_at = np.concatenate((self.spelt_at, len(self.spelt) + np.cumsum([len(w) for w in new], dtype=np.int64)))
-        self.spelt = np.concatenate((self.spelt, np.frombuffer(b"".join(new), np.uint8)))
+        self.pool = np.concatenate((self.pool, ids, more))
+        self.spelt_at = np.concatenate((self.spelt_at, len(self.spelt) + at))
+        self.spelt = np.concatenate((self.spelt, spelt))
 
     def _same(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Whether each word of a block has the bytes of the table's word at place."""
@@ -122,9 +156,8 @@ class Encoder:
         near = np.searchsorted(self.keys, keys)
         near[near == len(self.keys)] = 0
         new = np.flatnonzero(self.keys[near] != keys) if len(self.keys) else np.arange(len(keys))
-        raw = low.tobytes()
         if len(new):
-            self._learn(keys[new], [raw[a:b] for a, b in zip(start[at[new]].tolist(), end[at[new]].tolist(), strict=True)])
+            self._learn(keys[new], low, start[at[new]], end[at[new]])
         place = self.slot[np.searchsorted(self.keys, keys)][word]
         n = self.lengths[place]
         before = np.concatenate(([0], np.cumsum(n)))
