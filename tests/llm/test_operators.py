@@ -364,7 +364,7 @@ def test_repeated_rows_do_not_widen_the_sample(spark, monkeypatch, op):
         labels = spark.createDataFrame([(i, i % 2) for i in range(40)] * 3 + [(99, 1), (500, 1)], "doc_id long, toxic int")
         op.fit(docs, labels)
         assert sizes == [40]
-        assert op.labelled_sample(docs, labels, "toxic", 8).count() == 16
+        assert op.labelled_sample(docs, labels, "toxic", 8).count() in (15, 16)  # the long text may be one of the first eight
 
 
 def test_rejection_keeps_its_target():
